@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logweave import paths
-from logweave.frame import EventFrame
+from logweave.frame import EventFrame, Ref
 from logweave.functions.text import quote_java
 from logweave.operators.grok import grok
 from logweave.pipeline import Operator, named
@@ -34,31 +34,21 @@ def json(
         if text is None:
             return
         text = f.bind(text)
-        cond = f.here()
-        if cond is None:
-            parsed = f.lift(F.try_parse_json, text, dtype="variant", cost=100)
-        else:
-            parsed = f.lift(
-                lambda t, g: F.when(g, F.try_parse_json(t)), text, cond, dtype="variant", cost=100
-            )
-        parsed = f.bind(parsed)
+        parsed = f.bind(f.lift(F.try_parse_json, text, dtype="variant", cost=100))
         ok = f.bind(f.lift(lambda p: p.isNotNull(), parsed, dtype="boolean"))
         f.note("error", source, f.lift(lambda t, k: t.isNotNull() & ~k, text, ok, dtype="boolean"))
         if target is not None:
             f.note("fields_added", target, ok)
-            f.set(target, parsed, ok)
+            f.put(target, parsed)
         else:
             for path, dtype in (fields or {}).items():
                 where = "$" + "".join(f"['{p}']" for p in paths.parts(path))
-                value = f.bind(
-                    f.lift(
-                        lambda p, w=where, t=dtype: F.try_variant_get(p, w, t),
-                        parsed, dtype=dtype, cost=5,
-                    )
+                value = f.lift(
+                    lambda p, w=where, t=dtype: F.try_variant_get(p, w, t),
+                    parsed, dtype=dtype, cost=5,
                 )
-                there = f.lift(lambda c: c.isNotNull(), value, dtype="boolean")
-                f.note("fields_added", path, there)
-                f.set(path, value, there)
+                _note_present(f, path, value)
+                f.put(path, value)
         for tag in tags:
             f.add_tag(tag, ok)
 
@@ -88,18 +78,11 @@ def csv(source: str, columns: list[str], separator: str = ",", quote: str | None
         text = f.text(source)
         if text is None:
             return
-        cond = f.here()
-        if cond is None:
-            arr = f.lift(split, text, dtype="array<string>", cost=100)
-        else:
-            arr = f.lift(
-                lambda t, g: F.when(g, split(t)), text, cond, dtype="array<string>", cost=100
-            )
-        arr = f.bind(arr)
+        arr = f.bind(f.lift(split, text, dtype="array<string>", cost=100))
         for i, column in enumerate(columns):
             value = f.lift(lambda a, i=i: F.get(a, i), arr, dtype="string")
-            f.note("fields_added", column, f.lift(lambda c: c.isNotNull(), value, dtype="boolean"))
-            f.merge(column, value)
+            _note_present(f, column, value)
+            f.put(column, value)
 
     return named("csv", run)
 
@@ -143,25 +126,15 @@ def kv(
         text = f.text(source)
         if text is None:
             return
-        cond = f.here()
-        if cond is None:
-            found = f.lift(pairs, text, dtype="pairs", cost=100)
-        else:
-            found = f.lift(lambda t, g: F.when(g, pairs(t)), text, cond, dtype="pairs", cost=100)
-        found = f.bind(found)
+        found = f.bind(f.lift(pairs, text, dtype="pairs", cost=100))
         for key in wanted:
             field = f"{paths.leaf(target)}.{key}" if target else key
-            value = f.bind(
-                f.lift(
-                    lambda p, k=key: F.get(
-                        F.reverse(F.filter(p, lambda e: e["key"] == k)), 0
-                    )["value"],
-                    found, dtype="string", cost=20,
-                )
+            value = f.lift(
+                lambda p, k=key: F.get(F.reverse(F.filter(p, lambda e: e["key"] == k)), 0)["value"],
+                found, dtype="string", cost=20,
             )
-            there = f.lift(lambda c: c.isNotNull(), value, dtype="boolean")
-            f.note("fields_added", field, there)
-            f.set(field, value, there)
+            _note_present(f, field, value)
+            f.put(field, value)
 
     return named("kv", run)
 
@@ -236,11 +209,16 @@ def date(source: str, fmt: str, target: str = "@timestamp", year: int | None = N
         old = f.fields.get(paths.leaf(target))
         if old is not None and old.dtype == "string":
             made = f.lift(iso_text, made, dtype="string")
-        f.set(target, made, ok)
+        f.put(target, made)
 
     return named("date", run)
 
 
+def _note_present(f: EventFrame, field: str, value: Ref) -> None:
+    if f.notes is not None:
+        f.note("fields_added", field, f.lift(lambda c: c.isNotNull(), value, dtype="boolean"))
+
+
 def iso_text(c: Column) -> Column:
     """A timestamp as ISO-8601 text: microseconds only when there are any, with the zone offset."""
     whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")

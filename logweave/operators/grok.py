@@ -43,17 +43,21 @@ class Compiled:
     regex: str
     captures: tuple[Capture, ...]
 
-    def array(self, text: Column) -> Column:
-        """``[prefix, capture 1, capture 2, …]`` on a match, one element otherwise."""
+    @property
+    def whole(self) -> str:
+        return f"^(?s:.*?)(?:{self.regex})(?s:.*)$"
+
+    def array(self, text: Column, number: int = 0) -> Column:
+        """``[number, capture 1, capture 2, …]`` on a match, one element otherwise."""
         n = max((c.index for c in self.captures), default=0)
-        whole = f"^(?s:.*?)(?:{self.regex})(?s:.*)$"
-        marks = SEPARATOR + SEPARATOR.join(f"${i}" for i in range(1, n + 1))
+        whole = self.whole
+        marks = str(number) + SEPARATOR + SEPARATOR.join(f"${i}" for i in range(1, n + 1))
         fast = F.split(F.regexp_replace(text, F.lit(whole), F.lit(marks)), SEPARATOR)
         slow = F.when(
             text.rlike(whole),
             F.transform(
                 F.sequence(F.lit(0), F.lit(max(n, 1))),
-                lambda i: F.when(i > 0, _group(text, whole, i, n)).otherwise(F.lit("")),
+                lambda i: F.when(i > 0, _group(text, whole, i, n)).otherwise(F.lit(str(number))),
             ),
         )
         return F.when(text.contains(SEPARATOR), slow).otherwise(fast)
@@ -160,6 +164,16 @@ def captured(arr: Column, compiled: Compiled, field: str) -> Column:
     return options[0] if len(options) == 1 else F.coalesce(*options)
 
 
+def first_match(text: Column, patterns: list[Compiled]) -> Column:
+    """Capture array of the first pattern that matches; its first element is the pattern's number."""
+    if len(patterns) == 1:
+        return patterns[0].array(text)
+    out = F.when(text.rlike(patterns[0].whole), patterns[0].array(text, 0))
+    for i, c in enumerate(patterns[1:], 1):
+        out = out.when(text.rlike(c.whole), c.array(text, i))
+    return out
+
+
 def _matched(arr: Column) -> Column:
     return F.coalesce(F.size(arr) > 1, F.lit(False))
 
@@ -187,40 +201,36 @@ def grok(
         if text is None:
             return
         text = f.share(text)
-        arrays: list[Ref] = []
-        hit: Ref | None = None
-        for c in compiled:
-            cond = f.here(None if hit is None else f.negate(hit))
-            if cond is None:
-                arr = f.lift(c.array, text, dtype="array<string>", cost=100)
-            else:
-                arr = f.lift(
-                    lambda t, g, c=c: F.when(g, c.array(t)), text, cond, dtype="array<string>", cost=100
-                )
-            arr = f.bind(arr)
-            arrays.append(arr)
-            matched = f.lift(_matched, arr, dtype="boolean")
-            hit = matched if hit is None else f.lift(lambda a, b: a | b, hit, matched, dtype="boolean")
-        hit = f.share(hit)
-        found: dict[str, list[tuple[Ref, Compiled]]] = {}
-        for arr, c in zip(arrays, compiled, strict=True):
+        arr = f.bind(f.lift(lambda t: first_match(t, compiled), text, dtype="array<string>", cost=100))
+        hit = f.lift(_matched, arr, dtype="boolean")
+        holders: dict[str, list[tuple[int, Compiled]]] = {}
+        kinds: dict[str, str] = {}
+        for number, c in enumerate(compiled):
             for capture in c.captures:
-                places = found.setdefault(capture.field, [])
-                if not places or places[-1][0] is not arr:
-                    places.append((arr, c))
-        kinds = {c.field: c.dtype for comp in compiled for c in comp.captures if c.dtype != "string"}
-        for field, places in found.items():
-
-            def value(*arrs: Column, field=field, places=places) -> Column:
-                cols = [captured(a, c, field) for a, (_, c) in zip(arrs, places, strict=True)]
-                return cols[0] if len(cols) == 1 else F.coalesce(*cols)
-
+                places = holders.setdefault(capture.field, [])
+                if (number, c) not in places:
+                    places.append((number, c))
+                if capture.dtype != "string":
+                    kinds[capture.field] = capture.dtype
+        for field, places in holders.items():
+
+            def value(a: Column, field=field, places=places) -> Column:
+                if len(compiled) == 1:
+                    return captured(a, compiled[0], field)
+                which = F.get(a, 0)
+                out = None
+                for number, c in places:
+                    one = captured(a, c, field)
+                    test = which == F.lit(str(number))
+                    out = F.when(test, one) if out is None else out.when(test, one)
+                return out
+
+            got = f.lift(value, arr, dtype="string", cost=2 * len(places))
             dtype = kinds.get(field, "string")
-            got = f.lift(value, *[a for a, _ in places], dtype="string", cost=2)
             if dtype != "string":
                 got = f.lift(lambda c, t=dtype: c.try_cast(t), got, dtype=dtype)
             _note(f, field, got)
-            f.merge(field, got)
+            f.put(field, got, only_here=True)
         for tag in on_match:
             f.add_tag(tag, hit)
         if on_failure:

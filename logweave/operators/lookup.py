@@ -81,13 +81,14 @@ def unique(table: DataFrame, key: str, value: str, order: str | None = None) ->
     return table.groupBy(F.col(key).alias("key")).agg(picked.alias("value"))
 
 
-def _join(f: EventFrame, lookup: Lookup, key: Ref, cond: Ref | None) -> Ref:
-    """Run a lookup for the rows of a block; returns the matched struct."""
+def _join(f: EventFrame, lookup: Lookup, key: Ref) -> Ref:
+    """Run a lookup for the rows of the current block; returns the matched struct."""
+    cond = f.guard()
     if cond is not None:
         key = f.lift(lambda k, c: F.when(c, k), key, cond, dtype="string", cost=5)
     out = f.new_column()
     after = f.add_step([key], lambda df, k: lookup.join(df, k, out))
-    return Ref(F.col(out), "struct", after)
+    return Ref(F.col(out), "struct", after, 1, f.block)
 
 
 def translate(source: str, target: str, dictionary: Lookup, fallback: str | None = None) -> Operator:
@@ -103,20 +104,22 @@ def translate(source: str, target: str, dictionary: Lookup, fallback: str | None
             return
         text = f.bind(text)
         there = f.lift(lambda c: c.isNotNull(), text, dtype="boolean")
-        row = _join(f, dictionary, text, f.here())
+        row = _join(f, dictionary, text)
         value_name = dictionary.values[0]
         hit = f.lift(lambda r: r[value_name].cast("string"), row, dtype="string")
         if fallback is None:
-            made = f.bind(hit)
+            made = hit
             there = f.lift(lambda c: c.isNotNull(), made, dtype="boolean")
         else:
             miss = template(f, fallback, keep_unresolved=True)
-            made = f.lift(lambda h, m: F.coalesce(h, m), hit, miss, dtype="string")
+            made = f.lift(
+                lambda t, h, m: F.when(t, F.coalesce(h, m)), there, hit, miss, dtype="string"
+            )
         if f.notes is not None:
             old = f.bind(f.exists(target))
             f.note("fields_modified", target, f.both(there, old))
             f.note("fields_added", target, f.both(there, f.negate(old)))
-        f.set(target, made, there)
+        f.put(target, made)
 
     return named("translate", run)
 
@@ -130,7 +133,7 @@ def cidr(address: str, networks: Iterable[str] | NetworkTable, add_tag: str) ->
             return
         key = f.address_key(text, ip_hex)
         if isinstance(networks, NetworkTable):
-            row = networks.find(f, key, f.here())
+            row = networks.find(f, key)
             hit = f.lift(lambda r: r.isNotNull(), row, dtype="boolean")
         else:
             listed = list(networks)
@@ -204,12 +207,12 @@ class NetworkTable:
             for t in sorted(present, reverse=True)
         ]
 
-    def find(self, f: EventFrame, key: Ref, cond: Ref | None) -> Ref:
+    def find(self, f: EventFrame, key: Ref) -> Ref:
         """The longest network holding an address key, as a struct; NULL without one."""
         found: list[Ref] = []
         for tier, lookup in self.tiers:
             block = f.lift(lambda k, t=tier: _block(k, t), key, dtype="string", cost=4)
-            row = _join(f, lookup, block, cond)
+            row = _join(f, lookup, block)
             found.append(
                 f.lift(
                     lambda r, k: F.get(
@@ -259,7 +262,7 @@ def geoip(source: str, table: NetworkTable, target: str = "geoip") -> Operator:
         text = f.text(source)
         if text is None:
             return
-        row = table.find(f, f.address_key(text, ip_hex), f.here())
+        row = table.find(f, f.address_key(text, ip_hex))
         prefix = paths.leaf(target)
         f.note("fields_added", target, f.lift(lambda r: r.isNotNull(), row, dtype="boolean"))
         for name in table.attributes:
@@ -268,7 +271,7 @@ def geoip(source: str, table: NetworkTable, target: str = "geoip") -> Operator:
             value = f.lift(lambda r, n=name, k=kind: r[n].cast(k), row, dtype=kind, cost=2)
             if kind == "string":
                 value = f.lift(lambda c: F.nullif(c, F.lit("")), value, dtype="string")
-            f.merge(f"{prefix}.{path}", value)
+            f.put(f"{prefix}.{path}", value)
 
     return named("geoip", run)
 
@@ -284,14 +287,14 @@ def dns(hosts: Lookup, reverse: Iterable[str] = (), resolve: Iterable[str] = ())
             text = f.text(field)
             if text is None:
                 continue
-            row = _join(f, hosts, f.bind(text), f.here())
+            row = _join(f, hosts, text)
             name = hosts.values[0]
-            made = f.bind(f.lift(lambda r, n=name: r[n].cast("string"), row, dtype="string"))
+            made = f.lift(lambda r, n=name: r[n].cast("string"), row, dtype="string")
             there = f.lift(lambda c: c.isNotNull(), made, dtype="boolean")
             if f.notes is not None:
                 old = f.exists(field)
                 f.note("fields_modified", field, f.both(there, old))
-            f.set(field, made, there)
+            f.put(field, made)
 
     return named("dns", run)
 
@@ -326,7 +329,7 @@ def interface_alias(
         if host is None or name is None:
             return
         name = f.bind(name)
-        row = _join(f, hosts, f.bind(host), f.here())
+        row = _join(f, hosts, host)
 
         def pick(r: Column, n: Column) -> Column:
             hit = F.filter(
@@ -347,7 +350,7 @@ def interface_alias(
         for source, target in (("alias", "interface.alias"), ("network", "network.name")):
             value = f.lift(lambda r, s=source: r[s], found, dtype="string")
             f.note("fields_added", target, f.lift(lambda c: c.isNotNull(), value, dtype="boolean"))
-            f.merge(target, value)
+            f.put(target, value)
 
     return named("interface", run)
 

@@ -124,12 +124,11 @@ def _move(f: EventFrame, source: str, target: str, keep: bool = True) -> None:
     if value is None:
         return
     value = f.share(value)
-    there = _present(f, value)
-    f.note("fields_added", target, there)
+    f.note("fields_added", target, _present(f, value))
     if not keep:
-        f.note("fields_removed", source, there)
+        f.note("fields_removed", source, _present(f, value))
         f.remove_leaf(source)
-    f.set(target, value, there)
+    f.put(target, value)
 
 
 def _convert(f: EventFrame, field: str, kind: str) -> None:
@@ -139,7 +138,7 @@ def _convert(f: EventFrame, field: str, kind: str) -> None:
         return
     if kind == "string":
         f.note("fields_modified", field, _present(f, value))
-        f.retype(field, f.as_text(value))
+        f.set(field, f.as_text(value))
         return
     value = f.bind(value)
     if kind in ("integer", "int"):
@@ -153,9 +152,9 @@ def _convert(f: EventFrame, field: str, kind: str) -> None:
     made = f.bind(made)
     f.note("fields_modified", field, _present(f, made))
     if made.dtype != "boolean" and value.dtype == "string":
-        bad = f.lift(lambda v, m: v.isNotNull() & m.isNull(), value, made, dtype="boolean")
-        f.set(paths.leaf(field) + "_raw", value, bad)
-    f.retype(field, made)
+        raw = f.lift(lambda v, m: F.when(m.isNull(), v), value, made, dtype="string")
+        f.put(paths.leaf(field) + "_raw", raw)
+    f.set(field, made)
 
 
 def _to_int(c: Column) -> Column:
@@ -167,10 +166,8 @@ def _edit_text(f: EventFrame, field: str, fn, cost: int = 1) -> None:
     value = f.get(field)
     if value is None or value.dtype != "string":
         return
-    value = f.share(value)
-    there = _present(f, value)
-    f.note("fields_modified", field, there)
-    f.set(field, f.lift(fn, value, dtype="string", cost=cost), there)
+    f.note("fields_modified", field, _present(f, value))
+    f.set(field, f.lift(fn, f.share(value), dtype="string", cost=cost))
 
 
 def _split(f: EventFrame, field: str, separator: str) -> None:
@@ -180,7 +177,7 @@ def _split(f: EventFrame, field: str, separator: str) -> None:
     f.note("fields_modified", field, _present(f, value))
     regex = quote_java(separator)
     made = f.lift(lambda c: F.split(c, regex), value, dtype=STRING_ARRAY, cost=30)
-    f.retype(field, f.bind(made))
+    f.set(field, f.bind(made))
 
 
 def _join(f: EventFrame, field: str, separator: str) -> None:
@@ -188,7 +185,7 @@ def _join(f: EventFrame, field: str, separator: str) -> None:
     if value is None or not value.dtype.startswith("array<"):
         return
     f.note("fields_modified", field, _present(f, value))
-    f.retype(field, f.lift(lambda c: F.array_join(c, separator), value, dtype="string"))
+    f.set(field, f.lift(lambda c: F.array_join(c, separator), value, dtype="string"))
 
 
 def _merge(f: EventFrame, target: str, source: str) -> None:
@@ -208,5 +205,5 @@ def _merge(f: EventFrame, target: str, source: str) -> None:
         prefix = paths.leaf(source)
         for child in f.children(source):
             value = f.fields[child]
-            there = f.both(both, _present(f, value))
-            f.set(paths.leaf(target) + child[len(prefix):], value, there)
+            laid = f.lift(lambda b, v: F.when(b, v), both, value, dtype=value.dtype)
+            f.put(paths.leaf(target) + child[len(prefix):], laid)

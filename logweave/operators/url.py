@@ -77,10 +77,9 @@ def url_parts(source: str = "url.original", keep_password: bool = False) -> Oper
             for field, part in targets.items()
         }
         for field, value in values.items():
-            value = f.bind(value)
-            present = f.lift(lambda c: c.isNotNull(), value, dtype="boolean")
-            f.note("fields_added", field, present)
-            f.set(field, value, present)
+            if f.notes is not None:
+                f.note("fields_added", field, f.lift(lambda c: c.isNotNull(), value, dtype="boolean"))
+            f.put(field, value)
         f.add_tag(INVALID, f.both(there, f.negate(ok)))
         meta = paths.leaf("[url][meta]")
         for name, dtype, fn in (
@@ -90,7 +89,7 @@ def url_parts(source: str = "url.original", keep_password: bool = False) -> Oper
             ("has_whitespace", "boolean", lambda c: c.rlike(r"\s")),
         ):
             f.note("fields_added", f"{meta}.{name}", there)
-            f.set(f"{meta}.{name}", f.lift(fn, text, dtype=dtype, cost=3), there)
+            f.put(f"{meta}.{name}", f.lift(fn, text, dtype=dtype, cost=3))
 
     return named("url", run)
 
@@ -104,10 +103,9 @@ def user_agent_length(source: str = "user_agent.original") -> Operator:
             return
         there = f.lift(lambda c: c.isNotNull(), text, dtype="boolean")
         f.note("fields_added", "user_agent.meta.total_length", there)
-        f.set(
+        f.put(
             "user_agent.meta.total_length",
             f.lift(lambda c: F.length(c).cast("bigint"), text, dtype="bigint"),
-            there,
         )
 
     return named("user_agent", run)

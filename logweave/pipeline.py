@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.frame import EventFrame, Note, Ref
+from logweave.frame import CHAIN_LIMIT, EventFrame, Note, Ref
 from logweave.predicates import Condition
 
 Operator = Callable[[EventFrame], None]
@@ -27,42 +27,33 @@ def branch(*cases: tuple[Condition, Iterable[Operator]], otherwise: Iterable[Ope
     rest = list(otherwise)
 
     def run(f: EventFrame) -> None:
-        outer, taken = f.guard, None
-        covers = []
-        for cond, _ in listed:
+        cases, taken = [], None
+        for cond, block in listed:
             hit = f.share(cond.build(f))
-            covers.append(hit if taken is None else f.both(hit, f.negate(taken)))
-            taken = hit if taken is None else f.share(
-                f.lift(lambda a, b: a | b, taken, hit, dtype="boolean")
+            mine = hit if taken is None else f.share(f.both(hit, f.negate(taken)))
+            cases.append((mine, block))
+            taken = hit if taken is None else f.lift(
+                lambda a, b: a | b, taken, hit, dtype="boolean", limit=CHAIN_LIMIT
             )
-        for mine, (_, block) in zip(covers, listed, strict=True):
-            f.guard = f.share(f.both(outer, mine))
-            for op in block:
-                f.run(op)
         if rest:
-            f.guard = f.share(f.both(outer, f.negate(taken)))
-            for op in rest:
-                f.run(op)
-        f.guard = outer
+            cases.append((f.share(f.negate(taken)), rest))
+        f.run_blocks(cases, disjoint=len(cases))
 
     run.is_block = True
     return run
 
 
-def dispatch(*cases: tuple[Condition, Iterable[Operator]]) -> Operator:
+def dispatch(*cases: tuple[Condition, Iterable[Operator]], disjoint: int = 0) -> Operator:
     """Independent ifs whose conditions are all evaluated on entry, in one round.
 
     Same as one ``branch`` after the other when no block writes what a later condition reads.
+    ``disjoint`` is the number of leading cases of which no row meets two, as with tests for
+    different texts of one field; such a block need not look at what the others wrote.
     """
     listed = [(cond, list(block)) for cond, block in cases]
 
     def run(f: EventFrame) -> None:
-        outer = f.guard
-        covers = [f.share(f.both(outer, cond.build(f))) for cond, _ in listed]
-        for f.guard, (_, block) in zip(covers, listed, strict=True):
-            for op in block:
-                f.run(op)
-        f.guard = outer
+        f.run_blocks([(f.share(cond.build(f)), block) for cond, block in listed], disjoint)
 
     run.is_block = True
     return run
@@ -78,7 +69,7 @@ def drop() -> Operator:
     """Remove the rows of the current block."""
 
     def run(f: EventFrame) -> None:
-        gone = f.here() or f.literal(True, "boolean")
+        gone = f.guard() or f.literal(True, "boolean")
         f.add_step([gone], lambda df, c: df.filter(~c))
 
     return named("drop", run)
@@ -139,7 +130,7 @@ def ordered(files: dict[str, list[Operator]]) -> list[Stage]:
 def _record(f: EventFrame, name: str, op: Operator, snapshots: bool) -> Ref:
     """Apply one operator and build its audit entry: what it changed in this row."""
     everywhere = f.literal(True, "boolean")
-    executed = f.guard or everywhere
+    executed = f.guard() or everywhere
     before = f.bind(f.snapshot()) if snapshots else None
     f.notes = []
     op(f)

@@ -30,7 +30,7 @@ def normalize_lists(fields: tuple[str, ...] = _ROUTE) -> Operator:
         for field in fields:
             found = f.get(field)
             if found is not None and found.dtype.startswith("array<"):
-                f.retype(field, f.lift(first_choice, found, dtype="string", cost=10))
+                f.set(field, f.lift(first_choice, found, dtype="string", cost=10))
 
     return named("normalize", run)
 
@@ -69,8 +69,8 @@ def sequence_range(
         there = f.lift(lambda c: c.isNotNull(), found, dtype="boolean")
         f.note("fields_modified", field, there)
         f.note("fields_added", end, ranged)
-        f.set(end, last, ranged)
-        f.retype(field, first)
+        f.put(end, f.lift(lambda r, v: F.when(r, v), ranged, last, dtype="bigint"))
+        f.set(field, first)
 
     return named("sequence", run)
 

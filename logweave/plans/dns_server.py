@@ -6,7 +6,7 @@ from logweave.operators import grok, mutate
 from logweave.pipeline import Operator, branch
 from logweave.plans.fixed import PRODUCT, routed
 from logweave.plans.unwrap import inner_header
-from logweave.predicates import Condition, eq, exists, has, lacks, matches, missing
+from logweave.predicates import Condition, eq, exists, has, matches, missing
 
 TEXT = "filter_message"
 
@@ -23,18 +23,16 @@ _FAIL = "grok_fail_35_unbound_"
 
 
 def registered_domain() -> list[Operator]:
-    """Last two labels and last label of the question name."""
+    """Last two labels and last label of the question name.
+
+    A name with a leading dot and one without are one pattern here, so both failure tags go together.
+    """
     name = "[dns][question][name]"
-    two = r"(?<[dns][question][registered_domain]>[^.]+\.[^.]+)\.?$"
     return [
         grok(
-            name, r"(\.)?" + two, add_tag="unbound-registered_domain",
-            tag_on_failure=_FAIL + "registered_domain_first",
+            name, r"(\.)?(?<[dns][question][registered_domain]>[^.]+\.[^.]+)\.?$",
+            tag_on_failure=[_FAIL + "registered_domain_first", _FAIL + "registered_domain_second"],
         ),
-        branch((
-            lacks("unbound-registered_domain"),
-            [grok(name, two, tag_on_failure=_FAIL + "registered_domain_second")],
-        )),
         grok(
             name, r"(\.)?(?<[dns][question][top_level_domain]>[^.]+)\.?$", tag_on_failure=_FAIL + "tld"
         ),

@@ -32,19 +32,17 @@ def parse_chain(fix_egress: bool = False) -> Chain:
     resolver and intrusion lines, picked by input type, are closed to the types after them.
     """
     [resolver], [alerts] = dns_server.unbound(), intrusion.suricata()
-    early = [*firewall.filterlog(fix_egress), *apps.services(), *apps.sshd()]
     late = [*apps.kea_dhcp(), *apps.web_portal()]
+    by_program = [
+        *firewall.filterlog(fix_egress),
+        *apps.services(),
+        *apps.sshd(),
+        *[(cond & ~resolver[0], block) for cond, block in late],
+        *[(cond & ~resolver[0] & ~alerts[0], block) for cond, block in apps.sshguard()],
+    ]
     return Chain(ordered({
         "00-unwrap": unwrap.unwrap(),
-        "20-log-types": [
-            dispatch(
-                *early,
-                resolver,
-                *[(cond & ~resolver[0], block) for cond, block in late],
-                (alerts[0], alerts[1]),
-                *[(cond & ~resolver[0] & ~alerts[0], block) for cond, block in apps.sshguard()],
-            )
-        ],
+        "20-log-types": [dispatch(*by_program, resolver, alerts, disjoint=len(by_program))],
     }))
 
 
