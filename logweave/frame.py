@@ -188,9 +188,13 @@ class EventFrame:
         dtype: str,
         cost: int = 1,
         limit: int = INLINE_LIMIT,
+        repeat: int = REPEAT_LIMIT,
     ) -> Ref:
-        """Apply ``fn`` to the expressions behind ``refs``, binding the ones too big to inline."""
-        ready = self._early([self.bind(r) if r.size > limit else r for r in refs])
+        """Apply ``fn`` to the expressions behind ``refs``, binding the ones too big to inline.
+
+        Where ``fn`` reads its arguments often, a small ``repeat`` keeps it to helper columns.
+        """
+        ready = self._early([self.bind(r) if r.size > limit else r for r in refs], repeat)
         return Ref(
             fn(*[r.col for r in ready]),
             dtype,
@@ -199,11 +203,11 @@ class EventFrame:
             self.block,
         )
 
-    def _early(self, refs: list[Ref]) -> list[Ref]:
+    def _early(self, refs: list[Ref], repeat: int = REPEAT_LIMIT) -> list[Ref]:
         """Repeat small expressions instead of reading their helper columns, if that saves a round."""
         last = max((r.round for r in refs), default=0)
         late = [r for r in refs if r.round == last]
-        if any(r.made_of is None or r.made_of.size > REPEAT_LIMIT for r in late):
+        if any(r.made_of is None or r.made_of.size > repeat for r in late):
             return refs
         return [r.made_of if r.round == last else r for r in refs]
 
@@ -278,7 +282,7 @@ class EventFrame:
         text = self.share(text)
         known = self._keys.get(id(text))
         if known is None:
-            key = self.bind(replace(self.lift(make, text, dtype="string", cost=60), home=text.home))
+            key = self.bind(replace(self.lift(make, text, dtype="string", cost=60, repeat=0), home=text.home))
             known = self._keys[id(text)] = (text, key)
         return known[1]
 

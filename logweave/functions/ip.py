@@ -21,48 +21,36 @@ PRIVATE_NETWORKS = (
 )
 
 
-def _v4_number(c: Column) -> Column:
+_SHORT = r"[0-9A-Fa-f]{1,4}"
+_V6 = rf"^(?:{_SHORT}(?::{_SHORT})*)?(?:::(?:{_SHORT}(?::{_SHORT})*)?)?$"
+
+
+def _v4_hex(c: Column) -> Column:
     part = F.split(c, r"\.")
     n = F.lit(0).cast("bigint")
     for i in range(4):
         n = n * 256 + F.get(part, i).try_cast("bigint")
-    return n
-
-
-def _v4_hex(c: Column) -> Column:
-    return F.lpad(F.hex(_v4_number(c)), 8, "0")
-
-
-def _groups(c: Column) -> Column:
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ":"))
+    return F.lpad(F.hex(n), 8, "0")
 
 
-def _padded(groups: Column) -> Column:
-    return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+def _plain_v6(c: Column) -> Column:
+    """Without a zone, and with a dotted tail as its two groups."""
+    bare = F.regexp_replace(c, r"%[^%]+$", "")
+    tail = _v4_hex(F.regexp_extract(bare, rf":({_V4})$", 1))
+    head = F.regexp_extract(bare, rf"^(.*:){_V4}$", 1)
+    dotted = F.concat(head, F.regexp_replace(tail, "^(....)", "$1:"))
+    return F.when(bare.contains("."), dotted).otherwise(bare)
 
 
 def _v6_hex(c: Column) -> Column:
-    """Expand ``::``, pad every group; a dotted tail counts as the last two groups."""
-    bare = F.regexp_replace(c, r"%[^%]+$", "")
-    tail = F.regexp_extract(bare, rf":({_V4})$", 1)
-    tail_hex = _v4_hex(tail)
-    plain = F.when(
-        tail != "",
-        F.concat(
-            F.regexp_replace(bare, rf":{_V4}$", ":"),
-            F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4),
-        ),
-    ).otherwise(bare)
-    halves = F.split(plain, "::")
-    left, right = _groups(F.get(halves, 0)), _groups(F.coalesce(F.get(halves, 1), F.lit("")))
-    count = F.size(left) + F.size(right)
-    shape = plain.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?$")
-    full = (F.size(halves) == 1) & (count == 8)
-    short = (F.size(halves) == 2) & (count <= 7)
-    return F.when(
-        shape & (full | short),
-        F.upper(F.concat(_padded(left), F.repeat(F.lit("0000"), F.lit(8) - count), _padded(right))),
-    )
+    """Write out ``::`` as the groups it stands for and pad every group."""
+    plain = _plain_v6(c)
+    given = F.length(F.regexp_replace(F.regexp_replace(plain, _SHORT, "x"), ":", ""))
+    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), (F.lit(8) - given).cast("int")))
+    groups = F.split(F.trim(F.regexp_replace(plain, F.lit("::"), zeros), F.lit(":")), ":")
+    made = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+    whole = F.when(plain.contains("::"), given <= 7).otherwise(given == 8)
+    return F.when(plain.rlike(_V6) & whole, F.upper(made))
 
 
 def ip_hex(c: Column) -> Column:

@@ -34,7 +34,7 @@ def json(
         if text is None:
             return
         text = f.bind(text)
-        parsed = f.bind(f.lift(F.try_parse_json, text, dtype="variant", cost=100))
+        parsed = f.bind(f.lift(F.try_parse_json, text, dtype="variant", cost=100, repeat=0))
         ok = f.bind(f.lift(lambda p: p.isNotNull(), parsed, dtype="boolean"))
         f.note("error", source, f.lift(lambda t, k: t.isNotNull() & ~k, text, ok, dtype="boolean"))
         if target is not None:
@@ -78,7 +78,7 @@ def csv(source: str, columns: list[str], separator: str = ",", quote: str | None
         text = f.text(source)
         if text is None:
             return
-        arr = f.bind(f.lift(split, text, dtype="array<string>", cost=100))
+        arr = f.bind(f.lift(split, text, dtype="array<string>", cost=100, repeat=0))
         for i, column in enumerate(columns):
             value = f.lift(lambda a, i=i: F.get(a, i), arr, dtype="string")
             _note_present(f, column, value)
@@ -126,7 +126,7 @@ def kv(
         text = f.text(source)
         if text is None:
             return
-        found = f.bind(f.lift(pairs, text, dtype="pairs", cost=100))
+        found = f.bind(f.lift(pairs, text, dtype="pairs", cost=100, repeat=0))
         for key in wanted:
             field = f"{paths.leaf(target)}.{key}" if target else key
             value = f.lift(

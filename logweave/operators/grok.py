@@ -201,7 +201,9 @@ def grok(
         if text is None:
             return
         text = f.share(text)
-        arr = f.bind(f.lift(lambda t: first_match(t, compiled), text, dtype="array<string>", cost=100))
+        arr = f.bind(f.lift(
+            lambda t: first_match(t, compiled), text, dtype="array<string>", cost=100, repeat=8
+        ))
         hit = f.lift(_matched, arr, dtype="boolean")
         holders: dict[str, list[tuple[int, Compiled]]] = {}
         kinds: dict[str, str] = {}

@@ -137,7 +137,7 @@ def cidr(address: str, networks: Iterable[str] | NetworkTable, add_tag: str) ->
             hit = f.lift(lambda r: r.isNotNull(), row, dtype="boolean")
         else:
             listed = list(networks)
-            hit = f.lift(lambda k: in_networks(k, listed), key, dtype="boolean", cost=30)
+            hit = f.lift(lambda k: in_networks(k, listed), key, dtype="boolean", cost=30, repeat=0)
         f.add_tag(add_tag, f.bind(hit))
 
     return named("cidr", run)
@@ -346,7 +346,7 @@ def interface_alias(
                 ),
             ))
 
-        found = f.bind(f.lift(pick, row, name, dtype="struct", cost=60))
+        found = f.bind(f.lift(pick, row, name, dtype="struct", cost=60, repeat=0))
         for source, target in (("alias", "interface.alias"), ("network", "network.name")):
             value = f.lift(lambda r, s=source: r[s], found, dtype="string")
             f.note("fields_added", target, f.lift(lambda c: c.isNotNull(), value, dtype="boolean"))

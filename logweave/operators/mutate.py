@@ -142,7 +142,7 @@ def _convert(f: EventFrame, field: str, kind: str) -> None:
         return
     value = f.bind(value)
     if kind in ("integer", "int"):
-        made = f.lift(_to_int, f.as_text(value), dtype="bigint", cost=4)
+        made = f.lift(_to_int, f.as_text(value), dtype="bigint", cost=4, repeat=0)
     elif kind == "float":
         made = f.lift(lambda c: c.try_cast("double"), f.as_text(value), dtype="double")
     elif kind in ("boolean", "bool"):

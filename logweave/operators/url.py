@@ -59,9 +59,9 @@ def url_parts(source: str = "url.original", keep_password: bool = False) -> Oper
             return
         text = f.bind(text)
         there = f.bind(f.lift(lambda c: c.isNotNull(), text, dtype="boolean"))
-        arr = f.bind(f.lift(URL.array, text, dtype="array<string>", cost=100))
+        arr = f.bind(f.lift(URL.array, text, dtype="array<string>", cost=100, repeat=0))
         ok = f.bind(
-            f.lift(lambda a: F.coalesce(_valid(a), F.lit(False)), arr, dtype="boolean", cost=40)
+            f.lift(lambda a: F.coalesce(_valid(a), F.lit(False)), arr, dtype="boolean", cost=40, repeat=0)
         )
         targets = {
             "url.extension": lambda a: extension(_part(a, "path")),
@@ -73,7 +73,7 @@ def url_parts(source: str = "url.original", keep_password: bool = False) -> Oper
         if keep_password:
             targets["client.user.password"] = lambda a: _part(a, "password")
         values = {
-            field: f.lift(lambda a, k, p=part: F.when(k, p(a)), arr, ok, dtype="string", cost=20)
+            field: f.lift(lambda a, k, p=part: F.when(k, p(a)), arr, ok, dtype="string", cost=20, repeat=0)
             for field, part in targets.items()
         }
         for field, value in values.items():

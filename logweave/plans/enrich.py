@@ -15,7 +15,7 @@ from logweave.operators.lookup import Lookup, NetworkTable
 from logweave.pipeline import Operator, branch
 from logweave.plans.fixed import INTERFACES, PRODUCT
 from logweave.predicates import eq, exists, has, lacks, matches, one_of
-from logweave.sources.dictionary import read_dictionary
+from logweave.sources.dictionary import literal_table, read_dictionary
 
 RULE_NAMES = str(Path(__file__).parent.parent / "data" / "rule_names.csv")
 
@@ -27,9 +27,8 @@ def interface_table(spark: SparkSession, rows: Iterable[tuple] = INTERFACES) ->
          name if name.startswith("^") else None, i)
         for i, (host, name, alias, network) in enumerate(rows)
     ]
-    return spark.createDataFrame(
-        made,
-        "hostname string, interface string, alias string, network string, pattern string, position int",
+    return literal_table(
+        spark, made, ["hostname", "interface", "alias", "network", "pattern", "position"]
     )
 
 
@@ -211,7 +210,7 @@ def host_names(hosts: Lookup) -> list[Operator]:
 
 def empty_dictionary(spark: SparkSession) -> Lookup:
     """A dictionary without entries, for lookups whose table is not given."""
-    return Lookup(spark.createDataFrame([], "key string, value string"))
+    return Lookup(literal_table(spark, [], ["key", "value"]))
 
 
 def default_rule_names(spark: SparkSession) -> Lookup:

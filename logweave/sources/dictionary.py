@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def literal_table(spark: SparkSession, rows: Iterable[tuple], columns: Iterable[str]) -> DataFrame:
+    """A small table of text and numbers kept inside the plan itself."""
+    names = list(columns)
+    made = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    if not made:
+        return spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in names])
+    return spark.range(1).select(F.inline(F.array(*made)))
+
+
 def read_dictionary(
     spark: SparkSession, path: str, header: bool = False, missing_ok: bool = False
 ) -> DataFrame:
@@ -15,7 +26,7 @@ def read_dictionary(
     out. With ``missing_ok`` an absent file reads as an empty dictionary.
     """
     if missing_ok and not _exists(spark, path):
-        return spark.createDataFrame([], "key string, value string")
+        return literal_table(spark, [], ["key", "value"])
     raw = (
         spark.read.schema("key string, value string, short string")
         .option("header", header)
