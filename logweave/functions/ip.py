@@ -8,7 +8,7 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -88,23 +88,29 @@ def in_networks(key: Column, networks: Iterable[str]) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def network_bounds(network: Column) -> tuple[Column, Column, Column]:
-    """(low key, high key, prefix length) of a network column such as ``10.0.0.0/8``."""
-    base = ip_hex(F.substring_index(network, "/", 1))
-    width = F.length(base) * 4
-    prefix = F.when(
-        network.contains("/"), F.substring_index(network, "/", -1).try_cast("int")
-    ).otherwise(width)
-    ok = prefix.between(0, width)
-    whole = F.floor(prefix / 4).cast("int")
-    rest = prefix % 4
-    digit = F.conv(base.substr(whole + 1, F.lit(1)), 16, 10).cast("int")
-    low_digit = digit.bitwiseAND(F.expr("15") - F.call_function("shiftright", F.lit(15), rest))
-    high_digit = low_digit.bitwiseOR(F.call_function("shiftright", F.lit(15), rest))
-    kept = base.substr(F.lit(1), whole)
-
-    def bound(mid: Column, fill: str) -> Column:
-        short = F.when(rest == 0, kept).otherwise(F.concat(kept, F.hex(mid)))
-        return F.when(ok, F.rpad(short, F.length(base).cast("int"), fill))
-
-    return bound(low_digit, "0"), bound(high_digit, "F"), F.when(ok, prefix)
+def with_bounds(table: DataFrame, network: str) -> DataFrame:
+    """Add ``low`` and ``high`` keys and ``prefix`` length of networks such as ``10.0.0.0/8``.
+
+    Host bits are ignored; a bad network gets a NULL prefix. The columns are added step by step, as
+    each is read several times by the next.
+    """
+    text = F.col(network)
+    whole, rest = F.floor(F.col("prefix") / 4).cast("int"), F.col("prefix") % 4
+    ones = F.call_function("shiftright", F.lit(15), rest)
+    kept = F.col("__base").substr(F.lit(1), whole)
+
+    def bound(digit: Column, fill: str) -> Column:
+        short = F.when(rest == 0, kept).otherwise(F.concat(kept, F.hex(digit)))
+        return F.when(F.col("prefix").isNotNull(), F.rpad(short, F.length("__base").cast("int"), fill))
+
+    width = F.length("__base") * 4
+    asked = F.when(text.contains("/"), F.substring_index(text, "/", -1).try_cast("int")).otherwise(width)
+    return (
+        table.withColumn("__base", ip_hex(F.substring_index(text, "/", 1)))
+        .withColumn("prefix", asked)
+        .withColumn("prefix", F.when(F.col("prefix").between(0, width), F.col("prefix")))
+        .withColumn("__digit", F.conv(F.col("__base").substr(whole + 1, F.lit(1)), 16, 10).cast("int"))
+        .withColumn("low", bound(F.col("__digit").bitwiseAND(F.lit(15) - ones), "0"))
+        .withColumn("high", bound(F.col("__digit").bitwiseOR(ones), "F"))
+        .drop("__base", "__digit")
+    )

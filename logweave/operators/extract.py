@@ -139,38 +139,45 @@ def kv(
     return named("kv", run)
 
 
-# Strftime letters and the Spark datetime letters for them.
+# Strftime letters, the Spark datetime letters for them, and the text they stand for.
 _STRFTIME = {
-    "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss",
-    "f": "SSSSSS", "p": "a", "b": "MMM", "B": "MMMM", "a": "E", "A": "EEEE", "j": "DDD",
-    "z": "xx", "Z": "z",
+    "Y": ("yyyy", r"\d{4}"), "y": ("yy", r"\d{2}"), "m": ("MM", r"\d{1,2}"), "d": ("dd", r"\d{1,2}"),
+    "H": ("HH", r"\d{1,2}"), "I": ("hh", r"\d{1,2}"), "M": ("mm", r"\d{1,2}"), "S": ("ss", r"\d{1,2}"),
+    "f": ("SSSSSS", r"\d{6}"), "p": ("a", "[AaPp][Mm]"), "b": ("MMM", "[A-Za-z]{3}"),
+    "B": ("MMMM", "[A-Za-z]+"), "a": ("E", "[A-Za-z]{3}"), "A": ("EEEE", "[A-Za-z]+"),
+    "j": ("DDD", r"\d{3}"), "z": ("xx", r"[+-]\d{4}"), "Z": ("z", "[A-Za-z/_]+"),
 }
 
 
-def datetime_pattern(fmt: str) -> str:
-    """Spark datetime pattern for a strftime format."""
-    out, i, literal = [], 0, ""
+def datetime_pattern(fmt: str) -> tuple[str, str]:
+    """Spark datetime pattern for a strftime format, and a regex of the texts it can read.
+
+    A number that a separator follows may have one digit or two, else it has two.
+    """
+    out, shape, literal = "", "", ""
 
     def close() -> None:
-        nonlocal literal
+        nonlocal out, literal
         if literal:
-            quoted = literal.replace("'", "''")
-            out.append(f"'{quoted}'" if re.search(r"[A-Za-z'\[\]{}#]", literal) else literal)
+            plain = not re.search(r"[A-Za-z'\[\]{}#]", literal)
+            out += literal if plain else "'" + literal.replace("'", "''") + "'"
             literal = ""
 
-    while i < len(fmt):
-        if fmt[i] == "%" and i + 1 < len(fmt):
-            if fmt[i + 1] == "%":
-                literal += "%"
-            else:
-                close()
-                out.append(_STRFTIME[fmt[i + 1]])
-            i += 2
-        else:
-            literal += fmt[i]
-            i += 1
+    pieces = re.findall(r"%.|[^%]", fmt, re.S)
+    for i, piece in enumerate(pieces):
+        if piece[0] != "%" or piece == "%%":
+            literal += piece[-1]
+            shape += quote_java(piece[-1])
+            continue
+        close()
+        letters, text = _STRFTIME[piece[1]]
+        tight = i + 1 < len(pieces) and pieces[i + 1][0] == "%"
+        if text == r"\d{1,2}":
+            letters, text = (letters, r"\d{2}") if tight else (letters[0], text)
+        out += letters
+        shape += text
     close()
-    return "".join(out)
+    return out, shape
 
 
 def date(source: str, fmt: str, target: str = "@timestamp", year: int | None = None) -> Operator:
@@ -190,10 +197,12 @@ def date(source: str, fmt: str, target: str = "@timestamp", year: int | None = N
             scale = 1_000_000 if fmt == "UNIX" else 1_000
             micros = F.round(c.try_cast("double") * F.lit(float(scale))).try_cast("bigint")
             return F.timestamp_micros(micros)
-        pattern = datetime_pattern(fmt)
+        pattern, shape = datetime_pattern(fmt)
+        text = F.regexp_replace(c, " +", " ") if " " in fmt else c
         if year is not None:
-            return F.try_to_timestamp(F.concat(F.lit(f"{year:04d} "), c), F.lit("yyyy " + pattern))
-        return F.try_to_timestamp(c, F.lit(pattern))
+            text, pattern = F.concat(F.lit(f"{year:04d} "), text), "yyyy " + pattern
+        fits = c.rlike(f"^{shape.replace(quote_java(' '), ' +')}$")
+        return F.when(fits, F.try_to_timestamp(text, F.lit(pattern)))
 
     def run(f: EventFrame) -> None:
         text = f.text(source)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave import paths
 from logweave.frame import EventFrame, Ref
-from logweave.functions.ip import in_networks, ip_hex, network_bounds
+from logweave.functions.ip import in_networks, ip_hex, with_bounds
 from logweave.functions.text import template
 from logweave.pipeline import Operator, named
 
@@ -34,17 +34,20 @@ class Lookup:
         values: Iterable[str] | None = None,
         broadcast_bytes: int = BROADCAST_BYTES,
         salts: int = SALTS,
+        size: int | None = None,
     ):
+        self._size = size
         self.values = list(values) if values is not None else [c for c in table.columns if c != key]
         self.table = table.select(F.col(key).alias("key"), *self.values).filter("key IS NOT NULL")
         self.broadcast_bytes = broadcast_bytes
         self.salts = salts
 
-    @cached_property
+    @property
     def size(self) -> int:
         """Bytes of the table as JSON text, an upper estimate of its in-memory payload."""
-        row = self.table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32)).first()
-        return int(row[0] or 0)
+        if self._size is None:
+            self._size = self.table.agg(F.sum(row_bytes("*"))).first()[0] or 0
+        return self._size
 
     @property
     def small(self) -> bool:
@@ -75,6 +78,11 @@ class Lookup:
         )
 
 
+def row_bytes(*columns: str) -> Column:
+    """Length of a row as JSON text, with room for its own overhead."""
+    return F.octet_length(F.to_json(F.struct(*columns))) + 32
+
+
 def unique(table: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
     """One row per key: the last by ``order``, or the smallest value without an order."""
     picked = F.max_by(value, order) if order else F.min(value)
@@ -168,7 +176,6 @@ class NetworkTable:
         self.attributes = (
             list(attributes) if attributes is not None else [c for c in table.columns if c != network]
         )
-        low, high, prefix = network_bounds(F.col(network))
         v4 = F.length("low") == 8
         tier = F.when(v4, F.when(F.col("prefix") < 24, 0).otherwise(1)).otherwise(
             F.when(F.col("prefix") < 32, 0).when(F.col("prefix") < 48, 1).otherwise(2)
@@ -184,10 +191,7 @@ class NetworkTable:
         ).otherwise(F.array(first))
         item = F.struct((-F.col("prefix")).alias("rank"), "low", "high", *self.attributes)
         filed = (
-            table.select(
-                low.alias("low"), high.alias("high"), prefix.alias("prefix"),
-                *[F.col(c) for c in self.attributes],
-            )
+            with_bounds(table.select(network, *[c for c in self.attributes if c != network]), network)
             .filter("prefix IS NOT NULL")
             .dropDuplicates(["low", "high"])
             .withColumn("tier", tier)
@@ -200,11 +204,13 @@ class NetworkTable:
 
     @cached_property
     def tiers(self) -> list[tuple[int, Lookup]]:
-        """Lookups of the tiers that hold networks, longest prefixes first."""
-        present = [r[0] for r in self.packed.select("tier").distinct().collect()]
+        """Lookups of the (at most three) tiers that hold networks, longest prefixes first."""
+        sizes = self.packed.groupBy("tier").agg(F.sum(row_bytes("key", "nets"))).collect()
         return [
-            (t, Lookup(self.packed.filter(F.col("tier") == t), "key", ["nets"], self.broadcast_bytes))
-            for t in sorted(present, reverse=True)
+            (t, Lookup(
+                self.packed.filter(F.col("tier") == t), "key", ["nets"], self.broadcast_bytes, size=size
+            ))
+            for t, size in sorted(sizes, reverse=True)
         ]
 
     def find(self, f: EventFrame, key: Ref) -> Ref:

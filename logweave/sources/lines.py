@@ -38,7 +38,9 @@ def as_events(
         type, tags = PRESETS[preset]["type"], PRESETS[preset]["tags"]
     text = F.col(message) if isinstance(message, str) else message
     kept = [
-        F.col(quoted(c)) for c in df.columns if c not in ("message", "type", "tags") and c != message
+        F.col(quoted(c))
+        for c in df.columns
+        if c not in ("message", "type", "tags") and not (isinstance(message, str) and c == message)
     ]
     return df.select(
         *kept,
