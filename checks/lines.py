@@ -151,8 +151,8 @@ def nginx_text() -> str:
 
 def haproxy_text() -> str:
     return text(
-        f"concat({SOURCE_IP}, ':', {SOURCE_PORT}, ' [01/Jan/2024:00:00:07.123] front back/srv', "
-        "CAST(event_id % 4 AS VARCHAR(9)), ' 1/2/3/4/5 200 ', CAST(100 + event_id % 900 AS VARCHAR(9)),"
+        f"concat({SOURCE_IP}, ':', {SOURCE_PORT}, ' [01/Jan/2024:00:00:07.123] front back/srv ', "
+        "CAST(event_id % 4 AS VARCHAR(9)), '/2/3/4/5 200 ', CAST(100 + event_id % 900 AS VARCHAR(9)),"
         " ' - - ---- 1/2/3/4/0 0/0 \"GET /p', CAST(event_id % 5 AS VARCHAR(9)), ' HTTP/1.1\"')"
     )
 

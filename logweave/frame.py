@@ -221,6 +221,11 @@ class EventFrame:
         return known[1]
 
     def _bind(self, ref: Ref) -> Ref:
+        """Lay out a helper column.
+
+        A costly one holds a test that is always true but that the optimizer must not move, so a
+        later filter on parsed fields reads the column instead of repeating its expression below.
+        """
         home, parts = ref.home, [ref]
         heavy = ref.size > INLINE_LIMIT
         if home is not None and home.local is not None and heavy:
@@ -232,8 +237,11 @@ class EventFrame:
             parts = [ref, *guards]
         at = max(p.round for p in parts)
         expr = ref.col
-        if home is not None and home.local is not None and heavy:
-            expr = F.when(parts[1].col, expr)
+        if heavy:
+            once = F.spark_partition_id() >= 0
+            if home is not None and home.local is not None:
+                once = parts[1].col & once
+            expr = F.when(once, expr)
         if home is None or home.slot is None:
             name = self.new_column()
             self._round(at).columns[name] = expr

@@ -135,6 +135,8 @@ def _record(f: EventFrame, name: str, op: Operator, snapshots: bool) -> Ref:
     f.notes = []
     op(f)
     notes, f.notes = f.notes, None
+    after = f.bind(f.snapshot()) if snapshots else None
+    inside, f.block = f.block, None
     lists: list[Ref] = []
     for kind in KINDS:
         mine = [n for n in notes if n.kind == kind]
@@ -153,7 +155,7 @@ def _record(f: EventFrame, name: str, op: Operator, snapshots: bool) -> Ref:
     for n in notes:
         if n.kind == "error":
             failed = f.lift(lambda a, b: a | b, failed, n.when or everywhere, dtype="boolean")
-    views = [before, f.bind(f.snapshot())] if snapshots else []
+    views = [before, after] if snapshots else []
 
     def entry(done: Column, bad: Column, *cols: Column) -> Column:
         changed, shots = cols[: len(KINDS)], cols[len(KINDS) :]
@@ -167,7 +169,9 @@ def _record(f: EventFrame, name: str, op: Operator, snapshots: bool) -> Ref:
         )
 
     bound = [f.bind(x) for x in lists]
-    return f.lift(entry, executed, failed, *bound, *views, dtype="struct", cost=50)
+    made = f.bind(f.lift(entry, executed, failed, *bound, *views, dtype="struct", cost=50))
+    f.block = inside
+    return made
 
 
 def change_label(failed: Column, *lists: Column) -> Column:
