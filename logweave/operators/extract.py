@@ -152,7 +152,7 @@ _STRFTIME = {
 def datetime_pattern(fmt: str) -> tuple[str, str]:
     """Spark datetime pattern for a strftime format, and a regex of the texts it can read.
 
-    A number that a separator follows may have one digit or two, else it has two.
+    A number between separators may have one digit or two, else it has two.
     """
     out, shape, literal = "", "", ""
 
@@ -171,7 +171,7 @@ def datetime_pattern(fmt: str) -> tuple[str, str]:
             continue
         close()
         letters, text = _STRFTIME[piece[1]]
-        tight = i + 1 < len(pieces) and pieces[i + 1][0] == "%"
+        tight = any(p[0] == "%" for p in pieces[max(i - 1, 0) : i] + pieces[i + 1 : i + 2])
         if text == r"\d{1,2}":
             letters, text = (letters, r"\d{2}") if tight else (letters[0], text)
         out += letters
