@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from logweave import paths
 from logweave.frame import EventFrame, Ref
 from logweave.functions.ip import in_networks, ip_hex, with_bounds
+from logweave.functions.spread import SPREAD, row_spread
 from logweave.functions.text import template
 from logweave.pipeline import Operator, named
 
 BROADCAST_BYTES = 256 << 20
 SALTS = 32
-SPREAD = 1 << 20
 
 
 class Lookup:
@@ -61,7 +61,7 @@ class Lookup:
         if self.small:
             return df.join(F.broadcast(right), key == F.col(f"{out}_k"), "left").drop(f"{out}_k")
         salt = f"{out}_s"
-        row = F.monotonically_increasing_id()
+        row = row_spread(df)
         left = df.withColumn(f"{out}_l", key).withColumn(
             salt,
             F.when(F.col(f"{out}_l").isNull(), -1 - F.pmod(row, F.lit(SPREAD)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logweave.frame import flatten, to_nested
+from logweave.functions.spread import row_spread
 from logweave.paths import quoted
 from logweave.plans.fixed import FALLBACK_DATASET, FALLBACK_NAMESPACE, STREAM_TYPE
 
@@ -54,7 +55,7 @@ def write_routed(
     """
     out = _nested(df)
     if files_per_route is not None:
-        spread = F.pmod(F.monotonically_increasing_id(), F.lit(files_per_route))
+        spread = F.pmod(row_spread(out), F.lit(files_per_route))
         out = out.withColumn("__spread", spread).repartition(*ROUTE, "__spread").drop("__spread")
     if df.isStreaming:
         writer = out.writeStream.format(fmt).partitionBy(*ROUTE).trigger(availableNow=True)
