@@ -1,6 +1,7 @@
 """Sample lines through the whole chain, streams, sinks, and audit."""
 
 import glob
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,14 +160,13 @@ def test_refreshed_dictionary_in_stream(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out").filter("t = 'none'").count() == 63 and len(built) >= 1
 
 
-def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    assert checkpoint_location(spark, "s") == f"{tmp_path}/s"
-    if before:
-        spark.conf.set("spark.checkpoint.dir", before)
-    else:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_checkpoint_folder_comes_from_the_session():
+    def session(folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder))
+
+    assert checkpoint_location(session("/shared/cp/"), "s") == "/shared/cp/s"
+    with pytest.raises(ValueError):
+        checkpoint_location(session(None), "s")
 
 
 def test_json_export(spark, tmp_path):
