@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +103,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     return x
+
+
+def batch_hashes(texts: list[bytes | None], words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of many texts in one array, and where each text begins and the last ends in it."""
+    found = [t.translate(words).split() if t else [] for t in texts]
+    ends = np.cumsum([0, *map(len, found)])
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(found)), np.uint64, int(ends[-1]))
+    return flat, ends
+
+
+def owners(ends: np.ndarray) -> np.ndarray:
+    """The number of the text that each element of a batch belongs to."""
+    return np.repeat(np.arange(len(ends) - 1), np.diff(ends))

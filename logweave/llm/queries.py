@@ -75,3 +75,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.packing import packed_digest
 
     return packed_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_winnowing")
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@query("op7_robust_outliers")
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.robust_quality import judged
+
+    found = judged(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2")
+    )
