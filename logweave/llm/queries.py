@@ -96,3 +96,19 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance2", 6).alias("distance2")
     )
+
+
+@query("op3_rule_ensemble")
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.rule_ensemble import scored, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return scored(docs, train(docs, labels))
+
+
+@query("op4_attentive_gru")
+def op4_attentive_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.toxicity import scored, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return scored(docs, train(docs, labels))
