@@ -16,11 +16,18 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,53 +36,92 @@ from logweave.llm.common import shuffle_partitions, slices
 
 WINDOW = 1024
 END_ID = 0
-CACHE_WORDS = 400_000
-"""Distinct chunks that a task keeps with their ids; beyond that it starts anew, which only costs time."""
+CACHE_CHUNKS = 1_500_000
+"""Chunks whose ids a Python worker keeps for its later batches and tasks; beyond that it starts anew, which only costs time."""
 BLOCK = 500_000
 
 _UNSAFE = r"\s \s|\s \Z"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+    """Ids of whole texts as unsigned 32-bit numbers.
 
     The tokenizer splits a text before each space that no white space precedes, or that a visible character follows, so
-    chunks cut at single spaces are encoded on their own and kept. Texts with other white space go to it whole.
+    texts are cut at single spaces and each distinct chunk is encoded once. Texts with other white space go to it whole.
+    The ids of chunks met before are kept, sorted by a 64-bit hash of the chunk.
     """
 
     def __init__(self, tokenizer_path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.unsafe = re.compile(_UNSAFE)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, np.uint32).astype("<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str] | None] = []
-        missing: set[str] = set()
-        for t in texts:
-            if self.unsafe.search(t) is None:
-                first, *rest = t.split(" ")
-                parts = [first, *map(" ".__add__, rest)]
-                missing.update(parts)
-                chunks.append(parts)
-            else:
-                chunks.append(None)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = [c for c in missing if c not in self.known]
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.known.update(zip(part, self._encode(part), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) if c is not None else next(self._encode([t])) for c, t in zip(chunks, texts, strict=True)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.start, self.length, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids."""
+        counts, ids = [], [np.empty(0, np.uint32)]
+        for a in range(0, len(texts), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
+            counts += map(len, found)
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        return np.array(counts, np.int64), np.concatenate(ids)
+
+    def _lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk, with a space before it, begin in ``self.ids``, and their number."""
+        if len(self.hashes) > CACHE_CHUNKS:
+            self._forget()
+        names = chunks.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(names), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            counts, ids = self._encode([" " + names[i] for i in new])
+            begin = len(self.ids) + np.cumsum(counts) - counts
+            merged = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(merged, kind="stable")
+            self.hashes = merged[order]
+            self.start, self.length = np.concatenate([self.start, begin])[order], np.concatenate([self.length, counts])[order]
+            self.ids = np.concatenate([self.ids, ids])
+            at = np.searchsorted(self.hashes, hashes)
+        return self.start[at], self.length[at]
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and where each text's ids end."""
+        whole = [self.unsafe.search(t) is not None for t in texts]
+        heads = [t if w else t.partition(" ")[0] for t, w in zip(texts, whole, strict=True)]
+        cut = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        start, length = self._lookup(coded.dictionary)
+        counts, ids = self._encode(heads)
+        # a text's first chunk has no space before it; one more chunk at each end stands for the end id
+        start = np.concatenate([start, len(self.ids) + np.cumsum(counts) - counts, [len(self.ids) + len(ids)]])
+        length = np.concatenate([length, counts, [1]])
+        source = np.concatenate([self.ids, ids, np.array([end_id], np.uint32)])
+        index = coded.indices.to_numpy().astype(np.int64)
+        index[ends[:-1]] = len(coded.dictionary) + np.arange(len(texts))
+        index = np.insert(index, ends[1:], len(length) - 1)
+        size = length[index]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        out = source[np.repeat(start[index] - (upto - size), size) + np.arange(total)]
+        return out, upto[ends[1:] + np.arange(len(texts))]
+
+
+def kept_encoder(tokenizer_path: str) -> Encoder:
+    """One encoder for the life of the Python worker, so that its chunks serve later tasks too."""
+    kept = sys.modules.setdefault("llm_kept_encoders", types.ModuleType("llm_kept_encoders")).__dict__
+    if tokenizer_path not in kept:
+        kept[tokenizer_path] = Encoder(tokenizer_path)
+    return kept[tokenizer_path]
 
 
 def token_pieces(
@@ -83,31 +129,24 @@ def token_pieces(
 ) -> DataFrame:
     """Pieces of at most ``window`` tokens: doc_id, start, length, doc_tokens, ids (binary, little-endian 32 bits)."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer_path)
+        encoder = kept_encoder(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                encoded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-                row, start, length, total, ids = [], [], [], [], []
-                for r, e in enumerate(encoded):
-                    e += end
-                    n = len(e) // 4
-                    for s in range(0, n, window):
-                        row.append(r)
-                        start.append(s)
-                        length.append(min(window, n - s))
-                        total.append(n)
-                        ids.append(e[4 * s : 4 * (s + window)])
+            for batch in slices(whole, "text", 6 << 20):
+                ids, ends = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end_id)
+                total = np.diff(ends, prepend=0)
+                number = -(-total // window)
+                row = np.repeat(np.arange(len(total)), number)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)) * window
+                length = np.minimum(window, total[row] - start)
+                offsets = np.concatenate([[0], np.cumsum(length)]) * 4  # pieces lie one after the other
+                held = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(total, pa.int64()), pa.array(ids, pa.binary())],
+                    [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(total[row]), held.cast(pa.binary())],
                     names=["doc_id", "start", "length", "doc_tokens", "ids"],
-                )
+                )
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return rows.mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
