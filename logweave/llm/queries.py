@@ -119,3 +119,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_column_bwt")
+def op8_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.repeats import deduplicated
+
+    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
