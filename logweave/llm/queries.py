@@ -127,3 +127,10 @@ def op8_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_page_wrapper")
+def op5_page_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.page_wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
