@@ -10,8 +10,47 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 from logweave.llm.common import table, written  # noqa: E402
+from logweave.llm.decontaminate import decontaminated  # noqa: E402
+from logweave.llm.ngram_join import one_of_each  # noqa: E402
+from logweave.llm.packing import packed_digest  # noqa: E402
+from logweave.llm.repeats import without_repeats  # noqa: E402
+from logweave.llm.robust_quality import without_outliers  # noqa: E402
 
-STAGES = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the plain rules or are outliers of their language and source go."""
+    return without_outliers(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays."""
+    return one_of_each(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that a document with a smaller id has too are cut out."""
+    return without_repeats(docs, length="n_chars")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten words in a row with a benchmark item go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    import public_tokenizers
+
+    return packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_join),
+    ("suffix-array dedup", suffix_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 
 ORACLE_SQL = None
 """SQL cannot express the robust estimates, the tokenizer and the packing; tests hold each stage against a plain version."""

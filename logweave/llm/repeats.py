@@ -25,10 +25,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from logweave.llm.common import MIX, binary, mixed, shuffle_partitions, slices, written
 
@@ -334,7 +336,11 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     return gone.unionByName(found)
 
 
-def _cut(docs: DataFrame, columns: str) -> DataFrame:
+def _cut(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and kept in place of text and spans."""
+    others = [c for c in docs.columns if c not in ("text", "spans")]
+    schema = StructType([*(docs.schema[c] for c in others), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
@@ -343,7 +349,7 @@ def _cut(docs: DataFrame, columns: str) -> DataFrame:
                 for t, own in zip(texts, spans, strict=True):
                     out, upto, removed, number = [], 0, 0, 0
                     for s, e in sorted((x["start"], x["end"]) for x in own or ()):
-                        if s > upto or (number == 0 and s == 0):
+                        if s > upto or number == 0:
                             out.append(t[upto:s])
                             number += 1
                             removed += e - s
@@ -356,18 +362,41 @@ def _cut(docs: DataFrame, columns: str) -> DataFrame:
                     n_spans.append(number)
                     kept.append(b"".join(out))
                 new = [pa.array([len(t) for t in texts], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *new], names=["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *new], names=schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, columns)
 
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: dict[str, str] | None = None, buckets: int | None = None) -> DataFrame:
+    """A row per document: doc_id, row (hash of the text), n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """A row per document: doc_id, row (hash of the text), n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+    ``carried`` names columns of ``docs`` to return too, and what to call them.
+    """
     if docs.schema[doc_id].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{doc_id} must be an integer, which says what document comes first")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
-    spans = repeated_spans(rows, buckets)
+    named = [F.col(f"`{c}`").alias(n) for c, n in (carried or {}).items()]
+    whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *named).withColumn("row", F.xxhash64("text"))
+    spans = repeated_spans(whole.select("doc_id", "row", "text"), buckets)
     per_doc = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("row").alias("span_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     same = (F.col("doc_id") == F.col("span_id")) & (F.col("row") == F.col("span_row"))
-    joined = rows.join(per_doc, same, "left").select("doc_id", "row", "text", "spans")
-    return _cut(joined, "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _cut(whole.join(per_doc, same, "left").drop("span_id", "span_row"))
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None, buckets: int | None = None) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of the texts; documents of which no visible character is left are gone.
+
+    Characters of which only some bytes are left go as well. ``length`` names a column to hold the new number of characters.
+    Documents that were blank before stay.
+    """
+    others = [c for c in docs.columns if c not in (doc_id, text)]
+    found = deduplicated(docs, doc_id, text, {c: f"carried_{i}" for i, c in enumerate(others)}, buckets)
+
+    @F.pandas_udf("string")
+    def decoded(parts: pd.Series) -> pd.Series:
+        return pd.Series([bytes(b).decode("utf-8", "ignore") for b in parts], dtype=object)
+
+    left = found.withColumn("decoded", decoded("kept")).filter((F.col("n_removed") == 0) | F.col("decoded").rlike(r"[^\x00-\x20]"))
+    names = {doc_id: F.col("doc_id").cast(docs.schema[doc_id].dataType), text: F.col("decoded"), **{c: F.col(f"carried_{i}") for i, c in enumerate(others)}}
+    if length in names:
+        names[length] = F.length("decoded").cast(docs.schema[length].dataType)
+    return left.select(*(names[c].alias(c) for c in docs.columns))
