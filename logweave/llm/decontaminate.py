@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import LETTER_WORDS, MIX, batch_hashes, binary, mixed, owners, slices, written
+from logweave.llm.common import LETTER_WORDS, MIX, batch_hashes, binary, fresh, mixed, owners, slices, written
 
 SPAN = 10
 K = 4
@@ -190,5 +190,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     Of documents with one id, the share is that of the worst.
     """
     judged = contamination(docs, benchmark, doc_id, **options)
-    bad = judged.filter(F.col("n_hit") > most_share * F.col("n_words")).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs[f"`{doc_id}`"].eqNullSafe(F.col("bad_id")), "left_anti")
+    bad_id = fresh(docs.columns, "bad_id")
+    bad = judged.filter(F.col("n_hit") > most_share * F.col("n_words")).select(F.col("doc_id").alias(bad_id)).distinct()
+    return docs.join(bad, F.col(f"`{doc_id}`").eqNullSafe(F.col(bad_id)), "left_anti")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SPACE_WORDS, batch_hashes, binary, grams, shuffle_partitions, slices, written
+from logweave.llm.common import SPACE_WORDS, batch_hashes, binary, fresh, grams, shuffle_partitions, slices, written
 from logweave.llm.graph import components
 
 WORDS = 5
@@ -362,6 +362,7 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Of each class of linked documents the one with the least id; rows without an id stay, repeated rows become one."""
     found = near_duplicates(docs, doc_id, text, **options)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs[f"`{doc_id}`"] == F.col("gone_id"), "left_anti")
+    gone_id = fresh(docs.columns, "gone_id")
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col(gone_id), "left_anti")
     return kept.dropDuplicates([doc_id, text])

@@ -198,7 +198,7 @@ def judged(
 
 def without_outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """``docs`` without the rejected rows."""
-    bad = judged(docs, doc_id, text, lang, source, **options).filter("NOT kept").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    key = fresh(docs.columns, "row_key")
+    bad_id, bad_key, key = (fresh(docs.columns, n) for n in ("bad_id", "bad_key", "row_key"))
+    bad = judged(docs, doc_id, text, lang, source, **options).filter("NOT kept").select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
     own = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`").cast("string"), F.col(f"`{lang}`").cast("string"), F.col(f"`{source}`").cast("string")))
-    return own.join(bad, own[f"`{doc_id}`"].eqNullSafe(F.col("bad_id")) & (own[key] == F.col("bad_key")), "left_anti").drop(key)
+    return own.join(bad, F.col(f"`{doc_id}`").eqNullSafe(F.col(bad_id)) & (F.col(key) == F.col(bad_key)), "left_anti").drop(key)

@@ -139,7 +139,7 @@ def judge_urls(
                 m = hit[:, of_rule[i]].any(axis=1)
                 rule[m], verdict[m] = site_rules[i][1], site_rules[i][0]
             glob[rule != None] = None  # noqa: E711
-            yield pd.DataFrame({"host": [h for h, _ in cut], "path": [p for _, p in cut], "rule": rule, "pattern": glob, "verdict": verdict})
+            yield pd.DataFrame({"host": [h for h, _ in cut], "path": [p for _, p in cut], "rule": rule, "pattern": glob, "verdict": verdict}, dtype=object)
 
     tmp = fresh(df.columns, "judged")
     out = df.withColumn(tmp, judged(F.col(f"`{url}`")))
