@@ -16,7 +16,7 @@ from logweave.plans import apps, audit, cleanup, dns_server, enrich, firewall, i
 from logweave.plans.full import Tables, full_chain, parse_chain
 from logweave.plans.sample import sample_chain
 from logweave.sinks import route
-from logweave.sources import as_events
+from logweave.sources import as_events, literal_table
 
 
 def chain_of(*cases) -> Chain:
@@ -94,15 +94,18 @@ def filterlog_v6(spark: SparkSession, sf: str) -> DataFrame:
     return pick(chain_of(*firewall.filterlog()).apply(df), "event_id", *FILTERLOG, ttl="pf.hoplimit")
 
 
+def rules(spark: SparkSession) -> Lookup:
+    """Names of three rules, one of them given twice."""
+    rows = [("1000000101", "first rule", 0), ("1000000102", "second", 1), ("1000000102", "second, later", 2), ("1000000103", "third rule", 3)]
+    return Lookup(literal_table(spark, rows, ["key", "value", "place"]), order="place")
+
+
 @query("firewall_blocked_by_rule", f"""
-    SELECT {L.RULE_UUID} AS rule_uuid, CASE {L.RULE_UUID} WHEN '1000000101' THEN 'Block IPv4 link-local' WHEN '1000000102' THEN 'Block IPv4 link-local'
-        WHEN '1000000103' THEN 'Default deny rule IPv4' WHEN '1000000104' THEN 'Default deny rule IPv4' WHEN '1000000105' THEN 'Default deny rule IPv6'
-        WHEN '1000000106' THEN 'Default deny rule IPv6' WHEN '1000000107' THEN 'System Generated' WHEN '1000000108' THEN 'System Generated'
-        WHEN '1000000109' THEN 'System Generated' WHEN '1000000110' THEN 'System Generated' WHEN '1000000111' THEN 'System Generated'
+    SELECT {L.RULE_UUID} AS rule_uuid, CASE {L.RULE_UUID} WHEN '1000000101' THEN 'first rule' WHEN '1000000102' THEN 'second, later' WHEN '1000000103' THEN 'third rule'
         ELSE concat('Rule ID: ', {L.RULE_UUID}) END AS rule_description, {S} AS source_ip, count(*) AS lines
     FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 0 AND event_id % 5 < 3 GROUP BY ALL""")
 def firewall_blocked_by_rule(spark: SparkSession, sf: str) -> DataFrame:
-    chain = chain_of(*firewall.filterlog()) + Chain([stage("rules", *enrich.rule_names(enrich.default_rule_names(spark)))])
+    chain = chain_of(*firewall.filterlog()) + Chain([stage("rules", *enrich.rule_names(rules(spark)))])
     out = route(chain.apply(L.program_lines(spark, sf, "filterlog")))
     view = views.firewall_view(out)
     hits = view.filter((F.col("action") == "BLOCK") & (F.col("direction") == "INGRESS") & (F.col("protocol") == "TCP"))
@@ -363,20 +366,21 @@ def export_json_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("private_clients", f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN lower(coalesce(c_name, ip)) ELSE coalesce(c_name, ip) END AS client_subdomain, CASE WHEN event_id % 2 = 0 THEN 'City' END AS city,
     CASE WHEN event_id % 2 = 0 THEN 'unbound,Private_Client_IP' ELSE 'unbound' END AS tags FROM (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN concat('10.0.', CAST(user_id // 256 AS VARCHAR), '.', CAST(user_id % 256 AS VARCHAR)) ELSE concat('8.0.', CAST(user_id // 256 AS VARCHAR), '.', CAST(user_id % 256 AS VARCHAR)) END AS ip FROM events)
-    LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 2 = 0 AND event_id % 2 = 0""")
+    LEFT JOIN customer ON c_custkey = user_id AND event_id % 2 = 0""")
 def private_clients(spark: SparkSession, sf: str) -> DataFrame:
     ip = "concat('10.0.', c_custkey div 256, '.', c_custkey % 256)"
-    hosts = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.expr(ip).alias("key"), F.col("c_name").alias("value"))
+    hosts = table(spark, sf, "customer").select(F.expr(ip).alias("key"), F.col("c_name").alias("value"))
     address = "concat(CASE WHEN event_id % 2 = 0 THEN '10.0.' ELSE '8.0.' END, user_id div 256, '.', user_id % 256)"
     df = table(spark, sf, "events").select("event_id", F.expr(address).alias("client.ip"), F.array(F.lit("unbound")).alias("tags"))
-    return pick(run(df, *enrich.private_clients(Lookup(hosts))), "event_id", "client.subdomain", "tags", city="client.geo.city_name")
+    return pick(run(df, *enrich.private_clients(Lookup(hosts), {"[client][geo][city_name]": "City"})), "event_id", "client.subdomain", "tags", city="client.geo.city_name")
 
 
-@query("places_of_events", """SELECT event_id, CASE WHEN b < 9 AND event_id % 256 >= 128 THEN n_name || ' near' ELSE n_name END AS country,
-    concat('pfelk', CASE WHEN event_id % 2 = 0 THEN ',IP_Private_Source' ELSE ',GeoIP_Source' END) AS tags FROM (SELECT *, user_id % 256 AS b FROM events) LEFT JOIN nation ON event_id % 2 = 1 AND n_nationkey = b""")
+@query("places_of_events", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL WHEN event_id % 5 = 4 THEN r_name WHEN b < 9 AND event_id % 256 >= 128 THEN n_name || ' near' WHEN n_name IS NOT NULL THEN n_name WHEN b < 128 THEN 'WIDE' END AS country,
+    concat('pfelk', CASE WHEN event_id % 2 = 0 THEN ',IP_Private_Source' ELSE ',GeoIP_Source' END) AS tags FROM (SELECT *, user_id % 256 AS b FROM events) LEFT JOIN nation ON event_id % 2 = 1 AND event_id % 5 <> 4 AND n_nationkey = b LEFT JOIN region ON event_id % 2 = 1 AND event_id % 5 = 4 AND r_regionkey = event_id % 7""")
 def places_of_events(spark: SparkSession, sf: str) -> DataFrame:
-    nets = networks(spark, sf).filter("network LIKE '10.%' AND country_name <> 'WIDE'").withColumn("network", F.concat(F.lit("2"), F.expr("substring(network, 2)")))
-    address = "concat(CASE WHEN event_id % 2 = 0 THEN '10.' ELSE '20.' END, user_id % 256, '.0.', event_id % 256)"
+    nets = networks(spark, sf).withColumn("network", F.regexp_replace("network", r"^10[.]", "20."))
+    address = ("CASE WHEN event_id % 2 = 0 THEN concat('10.', user_id % 256, '.0.', event_id % 256) WHEN event_id % 5 = 4 THEN concat('2001:db8:', event_id % 7, '::', user_id)"
+               " ELSE concat('20.', user_id % 256, '.0.', event_id % 256) END")
     df = table(spark, sf, "events").select("event_id", F.expr(address).alias("source.ip"), F.array(F.lit("pfelk")).alias("tags"))
     return pick(run(df, *enrich.places(geo_table(nets))), "event_id", "tags", country="source.geo.country_name")
 
@@ -431,9 +435,9 @@ def audit_row_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("full_chain", f"""
     SELECT event_id, {_SETS} AS dataset, CASE WHEN event_id % 20 < 8 THEN concat('port-', {PORT}) END AS service,
-      CASE WHEN event_id % 20 < 8 THEN CASE WHEN event_id % 12 = 0 THEN concat('Rule ID: ', {L.RULE_UUID}) ELSE 'named' END END AS rule_named,
+      CASE WHEN event_id % 20 < 8 THEN CASE WHEN event_id % 12 NOT IN (1, 2, 3) THEN concat('Rule ID: ', {L.RULE_UUID}) ELSE 'named' END END AS rule_named,
       CASE WHEN event_id % 20 BETWEEN 8 AND 10 OR event_id % 20 IN (14, 16) THEN {S} END AS subdomain FROM events""")
 def full(spark: SparkSession, sf: str) -> DataFrame:
-    out = flatten(full_chain(spark, Tables()).apply(L.mixed_lines(spark, sf)))
+    out = flatten(full_chain(spark, Tables(rule_names=rules(spark))).apply(L.mixed_lines(spark, sf)))
     named = F.when(F.col("`rule.description`").startswith("Rule ID"), F.col("`rule.description`")).when(F.col("`rule.description`").isNotNull(), "named")
     return out.select("event_id", F.col("`event.dataset`").alias("dataset"), F.col("`destination.service.name`").alias("service"), named.alias("rule_named"), F.col("`client.subdomain`").alias("subdomain"))

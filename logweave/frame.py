@@ -99,11 +99,15 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(src).alias(name) for src, name in walk(df.schema, [])])
 
 
+OWN_VALUE = "_value"
+
+
 def to_nested(df: DataFrame, drop_metadata: bool = True) -> DataFrame:
     """Build nested structs from the flat leaf columns, once, at the sink.
 
     A struct whose leaves are all NULL becomes NULL. ``@metadata`` working fields are left out.
-    A scalar that is also the parent of other leaves gives way to them.
+    A scalar that is also the parent of other leaves is written as their neighbour ``_value``; in a row it is set or they
+    are, not both.
     """
     tree: dict = {}
     for name in df.columns:
@@ -114,9 +118,11 @@ def to_nested(df: DataFrame, drop_metadata: bool = True) -> DataFrame:
         for part in names[:-1]:
             child = node.get(part)
             if not isinstance(child, dict):
-                child = node[part] = {}
+                child = node[part] = {} if child is None else {OWN_VALUE: child}
             node = child
-        if not isinstance(node.get(names[-1]), dict):
+        if isinstance(node.get(names[-1]), dict):
+            node[names[-1]][OWN_VALUE] = F.col(paths.quoted(name))
+        else:
             node[names[-1]] = F.col(paths.quoted(name))
 
     def build(node: dict) -> tuple[Column, Column]:

@@ -20,14 +20,17 @@ def json(
     target: str | None = None,
     fields: Mapping[str, str] | None = None,
     add_tag: str | Iterable[str] = (),
+    rest: str | None = None,
 ) -> Operator:
     """Parse a JSON text.
 
     With ``target`` the whole value goes there as VARIANT, readable by path in later stages.
-    Without it the declared ``fields`` (path → type) of a JSON object are merged into the event;
-    the column set of a plan is fixed, so root keys have to be declared. Bad JSON changes nothing.
+    Without it the declared ``fields`` (path → type) of a JSON object are merged into the event. The column set of a plan
+    is fixed, so no key becomes a column undeclared; the whole value, with all of them, goes to ``rest`` (``<source>_json``
+    if not given) as VARIANT and on to the sink. Bad JSON changes nothing.
     """
     tags = [add_tag] if isinstance(add_tag, str) else list(add_tag)
+    whole = rest or f"{paths.leaf(source)}_json"
 
     def run(f: EventFrame) -> None:
         text = f.text(source)
@@ -49,25 +52,34 @@ def json(
                 )
                 _note_present(f, path, value)
                 f.put(path, value)
+            f.put(whole, parsed)
         for tag in tags:
             f.add_tag(tag, ok)
 
     return named("json", run)
 
 
+_END = "\ufdd2"
+
+
 def csv(source: str, columns: list[str], separator: str = ",", quote: str | None = '"') -> Operator:
     """Delimited text into named columns by position; missing trailing columns change nothing.
 
-    With ``quote=None`` the text is split plainly, else quoted values may hold the separator.
+    With ``quote=None`` the text is split plainly, else quoted values may hold the separator, and a doubled quote stands
+    for one. A blank cell is an empty text, quoted or not; blanks around a value stay.
     """
 
     def plain(c: Column) -> Column:
         return F.split(c, quote_java(separator))
 
     def quoted(c: Column) -> Column:
-        schema = ", ".join(f"c{i} STRING" for i in range(len(columns)))
-        row = F.from_csv(c, schema, {"sep": separator, "quote": quote, "mode": "PERMISSIVE"})
-        return F.array(*[row[f"c{i}"] for i in range(len(columns))])
+        # the parser reads blanks and missing cells alike; a mark behind the last cell tells them apart
+        schema = ", ".join(f"c{i} STRING" for i in range(len(columns) + 1))
+        row = F.from_csv(F.concat(c, F.lit(separator + _END)), schema, {"sep": separator, "quote": quote, "escape": quote, "mode": "PERMISSIVE"})
+        cells = F.array(*[row[f"c{i}"] for i in range(len(columns) + 1)])
+        end = F.array_position(cells, _END)
+        there = F.when(end > 0, F.slice(cells, 1, (end - 1).cast("int"))).otherwise(cells)
+        return F.transform(there, lambda x: F.coalesce(x, F.lit("")))
 
     def split(c: Column) -> Column:
         if quote is None:
@@ -109,9 +121,14 @@ def kv(
     target: str | None = None,
     field_split: str = " ",
     value_split: str = "=",
+    rest: str | None = None,
 ) -> Operator:
-    """``k=v`` pairs into fields, for the declared ``keys``; the last of a repeated key wins."""
+    """``k=v`` pairs into fields, for the declared ``keys``; the last of a repeated key wins.
+
+    All pairs, those of undeclared keys too, go as a map to ``rest`` (``<target or source>_pairs`` if not given).
+    """
     wanted = list(keys)
+    whole = rest or f"{paths.leaf(target or source)}_pairs"
 
     def pairs(c: Column) -> Column:
         return F.transform(
@@ -135,10 +152,17 @@ def kv(
             )
             _note_present(f, field, value)
             f.put(field, value)
+        f.put(whole, f.lift(_last_of_each, found, dtype="map<string,string>", cost=20, repeat=0))
 
     return named("kv", run)
 
 
+def _last_of_each(pairs: Column) -> Column:
+    """Key and value pairs as a map; the last of a repeated key wins."""
+    kept = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]))
+    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
+
+
 # Strftime letters, the Spark datetime letters for them, and the text they stand for.
 _STRFTIME = {
     "Y": ("yyyy", r"\d{4}"), "y": ("yy", r"\d{2}"), "m": ("MM", r"\d{1,2}"), "d": ("dd", r"\d{1,2}"),

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from logweave import paths
 from logweave.frame import EventFrame, Ref
-from logweave.functions.regex import to_java
+from logweave.functions.regex import required_text, starts_with_any, to_java
 from logweave.patterns import library
 from logweave.pipeline import Operator, named
 
 SEPARATOR = "\ufdd0"
+_LINE_START = r"(?s:.*?[\n\r\u0085\u2028\u2029])??"
 _REFERENCE = re.compile(r"%\{(\w+)(?::([^}:]+))?(?::(\w+))?\}")
 _NAMED_GROUP = re.compile(r"\(\?P?<(?![=!])([^>]+)>")
 _TYPES = {"int": "bigint", "integer": "bigint", "float": "double"}
@@ -45,10 +46,25 @@ class Compiled:
 
     @property
     def whole(self) -> str:
-        return f"^(?s:.*?)(?:{self.regex})(?s:.*)$"
+        """The regex for a whole text, from its first match on.
+
+        A pattern that begins with ``.*`` matches from the start of a line if it matches from anywhere in it, so only
+        line starts are tried: a text that does not match costs one pass and not one pass per character.
+        """
+        before = _LINE_START if starts_with_any(self.regex) else "(?s:.*?)"
+        return f"^{before}(?:{self.regex})(?s:.*)$"
+
+    def may_match(self, text: Column) -> Column | None:
+        """A quick test that every match passes; None if there is none."""
+        needed = required_text(self.regex)
+        return text.contains(needed) if len(needed) > 1 else None
+
+    def matches(self, text: Column) -> Column:
+        quick = self.may_match(text)
+        return text.rlike(self.whole) if quick is None else quick & text.rlike(self.whole)
 
     def array(self, text: Column, number: int = 0) -> Column:
-        """``[number, capture 1, capture 2, …]`` on a match, one element otherwise."""
+        """``[number, capture 1, capture 2, …]`` on a match, one element or NULL otherwise."""
         n = max((c.index for c in self.captures), default=0)
         whole = self.whole
         marks = str(number) + SEPARATOR + SEPARATOR.join(f"${i}" for i in range(1, n + 1))
@@ -60,7 +76,9 @@ class Compiled:
                 lambda i: F.when(i > 0, _group(text, whole, i, n)).otherwise(F.lit(str(number))),
             ),
         )
-        return F.when(text.contains(SEPARATOR), slow).otherwise(fast)
+        found = F.when(text.contains(SEPARATOR), slow).otherwise(fast)
+        quick = self.may_match(text)
+        return found if quick is None else F.when(quick, found)
 
 
 def _group(text: Column, regex: str, index: Column, n: int) -> Column:
@@ -168,9 +186,9 @@ def first_match(text: Column, patterns: list[Compiled]) -> Column:
     """Capture array of the first pattern that matches; its first element is the pattern's number."""
     if len(patterns) == 1:
         return patterns[0].array(text)
-    out = F.when(text.rlike(patterns[0].whole), patterns[0].array(text, 0))
+    out = F.when(patterns[0].matches(text), patterns[0].array(text, 0))
     for i, c in enumerate(patterns[1:], 1):
-        out = out.when(text.rlike(c.whole), c.array(text, i))
+        out = out.when(c.matches(text), c.array(text, i))
     return out
 
 

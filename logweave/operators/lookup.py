@@ -15,16 +15,18 @@ from logweave.functions.spread import SPREAD, row_spread
 from logweave.functions.text import template
 from logweave.pipeline import Operator, named
 
-BROADCAST_BYTES = 256 << 20
-SALTS = 32
+BROADCAST_BYTES = 64 << 20
+NO_KEY = "\ufdd1"
+"""Begins the stand-in for a missing key; a noncharacter, with which no key of a table may begin."""
 
 
 class Lookup:
-    """A table with a unique ``key`` column and one or more value columns.
+    """A table with a ``key`` column and one or more value columns, one row per key.
 
-    Its size is measured once. Up to ``broadcast_bytes`` it is broadcast. A larger table is joined
-    by shuffle with salted keys: event rows of one key are spread over ``salts`` tasks, the table
-    is repeated once per salt, and rows without a key are spread out instead of meeting in one task.
+    Of several rows of one key the one with the greatest ``order`` is taken, without ``order`` the one with the least
+    values. A table whose size is given and at most ``BROADCAST_BYTES`` is broadcast, else the plan's own statistics
+    decide. No size is measured by a job of its own. Rows without a key get stand-ins, so they spread over all tasks
+    instead of meeting in one; keys that hold many rows are split by adaptive execution.
     """
 
     def __init__(
@@ -32,61 +34,29 @@ class Lookup:
         table: DataFrame,
         key: str = "key",
         values: Iterable[str] | None = None,
-        broadcast_bytes: int = BROADCAST_BYTES,
-        salts: int = SALTS,
+        order: str | None = None,
         size: int | None = None,
+        unique: bool = False,
     ):
-        self._size = size
-        self.values = list(values) if values is not None else [c for c in table.columns if c != key]
-        self.table = table.select(F.col(key).alias("key"), *self.values).filter("key IS NOT NULL")
-        self.broadcast_bytes = broadcast_bytes
-        self.salts = salts
-
-    @property
-    def size(self) -> int:
-        """Bytes of the table as JSON text, an upper estimate of its in-memory payload."""
-        if self._size is None:
-            self._size = self.table.agg(F.sum(row_bytes("*"))).first()[0] or 0
-        return self._size
-
-    @property
-    def small(self) -> bool:
-        return self.size <= self.broadcast_bytes
+        self.values = list(values) if values is not None else [c for c in table.columns if c not in (key, order)]
+        self.small = size is not None and size <= BROADCAST_BYTES
+        named = F.col(key).cast("string")
+        kept = table.filter(named.isNotNull() & ~named.startswith(NO_KEY))
+        if unique:
+            self.table = kept.select(named.alias("key"), F.struct(*self.values).alias("row"))
+        else:
+            row = F.struct(*self.values)
+            best = F.max_by(row, F.struct(order, row)) if order else F.min(row)
+            self.table = kept.groupBy(named.alias("key")).agg(best.alias("row"))
 
     def join(self, df: DataFrame, key: Column, out: str) -> DataFrame:
         """Add column ``out``: the matching table row as a struct, NULL without a match."""
-        right = self.table.select(
-            F.col("key").alias(f"{out}_k"), F.struct(*self.values).alias(out)
-        )
+        right = self.table.select(F.col("key").alias(f"{out}_k"), F.col("row").alias(out))
         if self.small:
             return df.join(F.broadcast(right), key == F.col(f"{out}_k"), "left").drop(f"{out}_k")
-        salt = f"{out}_s"
-        row = row_spread(df)
-        left = df.withColumn(f"{out}_l", key).withColumn(
-            salt,
-            F.when(F.col(f"{out}_l").isNull(), -1 - F.pmod(row, F.lit(SPREAD)))
-            .otherwise(F.pmod(row, F.lit(self.salts))),
-        )
-        right = right.withColumn(f"{out}_t", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
-        return (
-            left.join(
-                right.hint("shuffle_merge"),
-                (F.col(f"{out}_l") == F.col(f"{out}_k")) & (F.col(salt) == F.col(f"{out}_t")),
-                "left",
-            )
-            .drop(f"{out}_k", f"{out}_l", f"{out}_t", salt)
-        )
-
-
-def row_bytes(*columns: str) -> Column:
-    """Length of a row as JSON text, with room for its own overhead."""
-    return F.octet_length(F.to_json(F.struct(*columns))) + 32
-
-
-def unique(table: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
-    """One row per key: the last by ``order``, or the smallest value without an order."""
-    picked = F.max_by(value, order) if order else F.min(value)
-    return table.groupBy(F.col(key).alias("key")).agg(picked.alias("value"))
+        stand_in = F.concat(F.lit(NO_KEY), F.pmod(row_spread(df), F.lit(SPREAD)).cast("string"))
+        left = df.withColumn(f"{out}_l", F.coalesce(key, stand_in))
+        return left.join(right, F.col(f"{out}_l") == F.col(f"{out}_k"), "left").drop(f"{out}_k", f"{out}_l")
 
 
 def _join(f: EventFrame, lookup: Lookup, key: Ref) -> Ref:
@@ -154,16 +124,15 @@ def cidr(address: str, networks: Iterable[str] | NetworkTable, add_tag: str) ->
 class NetworkTable:
     """Networks with attributes, ready for longest-prefix lookup by equality joins.
 
-    Each network is filed under a block of addresses that it lies in, and each block holds a short
-    list of networks, longest prefix first:
-
-    * tier 0 by the first 4 hex digits: IPv4 shorter than /24, IPv6 shorter than /32
-      (a network wider than the block is filed under every block it covers);
-    * tier 1 by the first 6 (IPv4) or 8 (IPv6) digits: IPv4 from /24, IPv6 from /32;
-    * tier 2 by the first 12 digits: IPv6 from /48.
+    Each network is filed under a block of addresses that it lies in, and each block holds a short list of networks,
+    longest prefix first. A tier is the number of hex digits that name its blocks: 4 or 6 for IPv4 (up to /23, from /24),
+    an even number from 4 to 32 for IPv6, the most that the prefix holds. So a block holds the networks of at most eight
+    neighbouring prefix lengths that lie in it, 511 at most, however dense the table. A network wider than the first
+    block is filed under every block it covers.
 
-    An address is looked up by its three block keys, so an event row stays one row: no range join,
-    no row explosion, no window. Tiers that hold nothing are not joined.
+    An address is looked up by one block key per tier, so an event row stays one row: no range join, no row explosion,
+    no window. Tiers that hold nothing are not joined; ``tiers`` names those that do, else one small job finds them. Of
+    several records of one network the one with the least attributes is taken.
     """
 
     def __init__(
@@ -171,46 +140,46 @@ class NetworkTable:
         table: DataFrame,
         network: str = "network",
         attributes: Iterable[str] | None = None,
-        broadcast_bytes: int = BROADCAST_BYTES,
+        tiers: Iterable[int] | None = None,
+        size: int | None = None,
     ):
         self.attributes = (
             list(attributes) if attributes is not None else [c for c in table.columns if c != network]
         )
         v4 = F.length("low") == 8
-        tier = F.when(v4, F.when(F.col("prefix") < 24, 0).otherwise(1)).otherwise(
-            F.when(F.col("prefix") < 32, 0).when(F.col("prefix") < 48, 1).otherwise(2)
+        tier = F.when(v4, F.when(F.col("prefix") < 24, 4).otherwise(6)).otherwise(
+            F.greatest(F.lit(4), 2 * F.floor(F.col("prefix") / 8).cast("int"))
         )
-        digits = _digits(F.col("tier"), v4)
+        digits = F.col("tier")
         first = F.col("low").substr(F.lit(1), digits)
-        span = F.sequence(
-            F.conv(first, 16, 10).cast("bigint"),
-            F.conv(F.col("high").substr(F.lit(1), digits), 16, 10).cast("bigint"),
+        span = F.sequence(  # of the first tier's blocks
+            F.conv(F.col("low").substr(1, 4), 16, 10).cast("bigint"),
+            F.conv(F.col("high").substr(1, 4), 16, 10).cast("bigint"),
         )
         blocks = F.when(
-            F.col("tier") == 0, F.transform(span, lambda n: F.lpad(F.hex(n), 4, "0"))
+            F.col("tier") == 4, F.transform(span, lambda n: F.lpad(F.hex(n), 4, "0"))
         ).otherwise(F.array(first))
         item = F.struct((-F.col("prefix")).alias("rank"), "low", "high", *self.attributes)
         filed = (
             with_bounds(table.select(network, *[c for c in self.attributes if c != network]), network)
             .filter("prefix IS NOT NULL")
-            .dropDuplicates(["low", "high"])
+            .groupBy("low", "high").agg(F.min("prefix").alias("prefix"), _least(self.attributes))
+            .select("low", "high", "prefix", *(F.col(f"least.{c}").alias(c) for c in self.attributes))
             .withColumn("tier", tier)
             .select("tier", F.length("low").alias("width"), F.explode(blocks).alias("block"), item.alias("item"))
         )
         self.packed = filed.groupBy("tier", F.concat("width", F.lit(":"), "block").alias("key")).agg(
             F.array_sort(F.collect_list("item")).alias("nets")
         )
-        self.broadcast_bytes = broadcast_bytes
+        self._filed, self._tiers, self._size = filed, tiers, size
 
     @cached_property
     def tiers(self) -> list[tuple[int, Lookup]]:
-        """Lookups of the (at most three) tiers that hold networks, longest prefixes first."""
-        sizes = self.packed.groupBy("tier").agg(F.sum(row_bytes("key", "nets"))).collect()
+        """Lookups of the tiers that hold networks, longest prefixes first."""
+        there = self._tiers if self._tiers is not None else [r.tier for r in self._filed.select("tier").distinct().collect()]
         return [
-            (t, Lookup(
-                self.packed.filter(F.col("tier") == t), "key", ["nets"], self.broadcast_bytes, size=size
-            ))
-            for t, size in sorted(sizes, reverse=True)
+            (t, Lookup(self.packed.filter(F.col("tier") == t), "key", ["nets"], size=self._size, unique=True))
+            for t in sorted(there, reverse=True)
         ]
 
     def find(self, f: EventFrame, key: Ref) -> Ref:
@@ -234,16 +203,13 @@ class NetworkTable:
         return f.bind(f.lift(lambda *c: F.coalesce(*c), *found, dtype="struct"))
 
 
-def _digits(tier: Column, v4: Column) -> Column:
-    return F.when(tier == 0, 4).when(tier == 1, F.when(v4, 6).otherwise(8)).otherwise(12)
+def _least(attributes: list[str]) -> Column:
+    return F.min(F.struct(*attributes) if attributes else F.struct(F.lit(0))).alias("least")
 
 
 def _block(key: Column, tier: int) -> Column:
-    v4 = F.length(key) == 8
-    digits = _digits(F.lit(tier), v4)
-    if tier == 2:
-        return F.when(~v4, F.concat(F.lit("32:"), key.substr(F.lit(1), digits)))
-    return F.concat(F.length(key).cast("string"), F.lit(":"), key.substr(F.lit(1), digits))
+    named = F.concat(F.length(key).cast("string"), F.lit(":"), key.substr(1, tier))
+    return named if tier <= 6 else F.when(F.length(key) == 32, named)
 
 
 # Attributes of a geographic record.
@@ -282,19 +248,24 @@ def geoip(source: str, table: NetworkTable, target: str = "geoip") -> Operator:
     return named("geoip", run)
 
 
-def dns(hosts: Lookup, reverse: Iterable[str] = (), resolve: Iterable[str] = ()) -> Operator:
+def dns(
+    hosts: Lookup | None = None, reverse: Iterable[str] = (), resolve: Iterable[str] = (), addresses: Lookup | None = None
+) -> Operator:
     """Replace addresses by host names (``reverse``) or names by addresses (``resolve``).
 
-    ``hosts`` is a resolution table; a name or address it lacks stays as it is.
+    ``hosts`` is keyed by address, ``addresses`` by name; a name or address that its table lacks stays as it is.
     """
+    asked = [(field, hosts) for field in reverse] + [(field, addresses) for field in resolve]
+    if any(table is None for _, table in asked):
+        raise ValueError("reverse needs hosts, a table keyed by address; resolve needs addresses, one keyed by name")
 
     def run(f: EventFrame) -> None:
-        for field in (*reverse, *resolve):
+        for field, known in asked:
             text = f.text(field)
             if text is None:
                 continue
-            row = _join(f, hosts, text)
-            name = hosts.values[0]
+            row = _join(f, known, text)
+            name = known.values[0]
             made = f.lift(lambda r, n=name: r[n].cast("string"), row, dtype="string")
             there = f.lift(lambda c: c.isNotNull(), made, dtype="boolean")
             if f.notes is not None:
@@ -328,6 +299,7 @@ def interface_alias(
         ),
         "hostname",
         ["rows"],
+        unique=True,
     )
 
     def run(f: EventFrame) -> None:

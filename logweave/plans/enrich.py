@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,15 +12,13 @@ from logweave.operators import (
 )
 from logweave.operators.lookup import Lookup, NetworkTable
 from logweave.pipeline import Operator, branch
-from logweave.plans.fixed import INTERFACES, PRODUCT
+from logweave.plans.fixed import PRODUCT
 from logweave.predicates import eq, exists, has, lacks, matches, one_of
-from logweave.sources.dictionary import literal_table, read_dictionary
+from logweave.sources.dictionary import literal_table
 
-RULE_NAMES = str(Path(__file__).parent.parent / "data" / "rule_names.csv")
 
-
-def interface_table(spark: SparkSession, rows: Iterable[tuple] = INTERFACES) -> DataFrame:
-    """The interface list as a table; a name written as a regex becomes a pattern."""
+def interface_table(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
+    """Rows of host name, interface, alias and network as a table; a name written as a regex becomes a pattern."""
     made = [
         (host, None if name.startswith("^") else name, alias, network,
          name if name.startswith("^") else None, i)
@@ -32,8 +29,10 @@ def interface_table(spark: SparkSession, rows: Iterable[tuple] = INTERFACES) ->
     )
 
 
-def interfaces(table: DataFrame, hosts: Iterable[str] = tuple(dict.fromkeys(r[0] for r in INTERFACES))) -> list[Operator]:
+def interfaces(table: DataFrame, hosts: Iterable[str] = ()) -> list[Operator]:
     """Alias and network name; loopback lines of the listed hosts also get rewritten direction and type."""
+    if not list(hosts):
+        return [interface_alias(table)]
     loopback = one_of("[log][syslog][hostname]", list(hosts)) & matches("[interface][name]", "^lo0$")
     return [
         interface_alias(table),
@@ -161,19 +160,8 @@ def urls(keep_password: bool = False) -> list[Operator]:
     return [branch((exists("[url][original]"), [url_parts(keep_password=keep_password)]))]
 
 
-# Values given to every private client; change as desired.
-HOME = {
-    "[client][as][organization][name]": PRODUCT,
-    "[client][geo][location]": "32.309, -64.813",
-    "[client][geo][city_name]": "City",
-    "[client][geo][country_name]": "Country",
-    "[client][geo][region_name]": "State",
-    "[client][geo][country_iso_code]": "US",
-}
-
-
 def private_clients(hostnames: Lookup, home: dict[str, str] | None = None) -> list[Operator]:
-    """Host name of the client address, and fixed place fields for private ones."""
+    """Host name of the client address, and the fields of ``home`` (path to value) for private ones."""
 
     def name(address: str) -> Operator:
         return branch((
@@ -190,7 +178,7 @@ def private_clients(hostnames: Lookup, home: dict[str, str] | None = None) -> li
         branch((has("dhcp"), [name("[dhcpv6][client][ip]")])),
         branch((
             has("Private_Client_IP"),
-            [mutate(add_field=home or HOME, lowercase="[client][subdomain]")],
+            [mutate(add_field=home or {}, lowercase="[client][subdomain]")],
         )),
     ]
 
@@ -210,10 +198,6 @@ def host_names(hosts: Lookup) -> list[Operator]:
 
 def empty_dictionary(spark: SparkSession) -> Lookup:
     """A dictionary without entries, for lookups whose table is not given."""
-    return Lookup(literal_table(spark, [], ["key", "value"]))
-
-
-def default_rule_names(spark: SparkSession) -> Lookup:
-    return Lookup(read_dictionary(spark, RULE_NAMES))
+    return Lookup(literal_table(spark, [], ["key", "value"]), size=0, unique=True)
 
 

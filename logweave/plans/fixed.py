@@ -1,4 +1,4 @@
-"""Fixed values that results must agree on: route names, failure tags, interface names."""
+"""Fixed values that results must agree on: route names and failure tags."""
 
 from __future__ import annotations
 
@@ -10,26 +10,6 @@ FALLBACK_DATASET = f"{PRODUCT}.unknown"
 FALLBACK_NAMESPACE = "generic"
 FALLBACK_TAG = f"{PRODUCT}_routing_fallback"
 
-# hostname, interface (or regex), alias, network
-INTERFACES = (
-    ("pfSense.lohdal.com", "igb0", "WAN", "WAN Network"),
-    ("pfSense.lohdal.com", "igb1", "LAN", "LAN Network"),
-    ("pfSense.lohdal.com", "igb2", "DMZ", "Exposed Network"),
-    ("pfSense.lohdal.com", "^igb0.7$", "RKOM", "ISP Network"),
-    ("pfSense.lohdal.com", "ix2", "DEV", "Test Network"),
-    ("pfSense.lohdal.com", "ix0_vlan300", "WiFi", "WiFi Network"),
-    ("pfSense.lohdal.com", "ix0_vlan500", "IoT", "IoT  Network"),
-    ("pfSense.lohdal.com", "ix0_vlan3000", "WiFi", "Guest Network"),
-    ("pfSense.lohdal.com", "lo0", "Link-Local", None),
-    ("second.network.local", "igb0", "WAN", "FiOS"),
-    ("second.network.local", "igb1", "LAN", "Home Network"),
-    ("second.network.local", "igb2", "DEV", "Lab"),
-    ("second.network.local", "igb3", "DMZ", "Exposed Network"),
-    ("second.network.local", "igb1_vlan2000", "VLAN", "Isolated Network"),
-    ("second.network.local", "lo0", "Link-Local", None),
-)
-
-
 def routed(name: str, namespace: str) -> dict[str, str]:
     """The three route fields a stage sets."""
     return {

@@ -20,6 +20,10 @@ class Tables:
     private_hosts: Lookup | None = None
     host_names: Lookup | None = None
     interfaces: DataFrame | None = None
+    loopback_hosts: tuple[str, ...] = ()
+    home: dict[str, str] | None = None
+    keep_passwords: bool = True
+    """Whether the password of a URL becomes a field; it stays in the URL itself either way."""
     city: NetworkTable | None = None
     asn: NetworkTable | None = None
 
@@ -49,16 +53,16 @@ def parse_chain(fix_egress: bool = False) -> Chain:
 def enrich_chain(spark: SparkSession, tables: Tables) -> Chain:
     """Lookups and derived fields."""
     empty = enrich.empty_dictionary(spark)
-    interfaces = tables.interfaces if tables.interfaces is not None else enrich.interface_table(spark)
     files = {
-        "65-interfaces": enrich.interfaces(interfaces),
         "70-places": enrich.places(tables.city, tables.asn),
-        "75-rule-names": enrich.rule_names(tables.rule_names or enrich.default_rule_names(spark)),
+        "75-rule-names": enrich.rule_names(tables.rule_names or empty),
         "76-port-names": enrich.port_names(tables.port_names or empty),
         "77-user-agents": enrich.user_agents(),
-        "78-urls": enrich.urls(),
-        "79-private-clients": enrich.private_clients(tables.private_hosts or empty),
+        "78-urls": enrich.urls(tables.keep_passwords),
+        "79-private-clients": enrich.private_clients(tables.private_hosts or empty, tables.home),
     }
+    if tables.interfaces is not None:
+        files["65-interfaces"] = enrich.interfaces(tables.interfaces, tables.loopback_hosts)
     if tables.host_names is not None:
         files["85-host-names"] = enrich.host_names(tables.host_names)
     return Chain(ordered(files))
