@@ -12,7 +12,9 @@
    round before. Where neighbours share 50 bytes they form an interval; windows in it go if it holds a smaller id.
 4. Removed windows return to their documents as spans.
 
-A bucket holds a bounded share of all anchors, whatever the texts; the streams that a round reads and writes stay in the
+A bucket holds a bounded share of all anchors, whatever the texts. An anchor with more than ``HOT_PIECES`` different pieces
+(the edge of a passage that a great many documents hold) is not indexed in one bucket: its windows are spread by their
+bytes and compared by a grouped minimum instead, which finds the same. The streams that a round reads and writes stay in the
 task's memory, as executors' own disks are not to be used. Text is shuffled twice, to meet the answers of steps 2 and 3.
 
 Cases: a null text counts as empty; texts under 50 bytes lose nothing. Ids must be integers. Rows of one id never remove
@@ -317,9 +319,22 @@ def _indexed(group: pa.Table) -> pa.Table:
 
 PIECE_BYTES = 2 << 20
 """Bytes of pieces that a bucket of step 3 holds on average."""
+HOT_PIECES = 100_000
+"""Different pieces of one anchor above which they are not indexed in one bucket but spread by their windows."""
 
 
-def repeated_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def _spread(pieces_: DataFrame) -> DataFrame:
+    """Spans that go from pieces of anchors that too many different pieces have: each window on its own, by its bytes."""
+    at = F.sequence(F.lit(0), F.length("piece") - SPAN)
+    windows = pieces_.select("doc_id", "row", "start", "piece", F.explode(at).alias("at")).select(
+        "doc_id", "row", (F.col("start") + F.col("at")).alias("start"), F.substring("piece", F.col("at") + 1, F.lit(SPAN)).alias("window")
+    )
+    least = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
+    gone = windows.join(least, "window").filter(F.col("doc_id") > F.col("least"))
+    return gone.select("doc_id", "row", "start", (F.col("start") + SPAN).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, buckets: int | None = None, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """``docs`` (doc_id long, row, text) to (doc_id, row, start, end): bytes to remove; spans of a document may overlap."""
     spark = docs.sparkSession
     buckets = buckets or max(64, shuffle_partitions(spark))
@@ -332,6 +347,10 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     left = staged.filter("piece IS NOT NULL").select("doc_id", "row", "start", "anchor", "piece")
     total = left.agg(F.sum(F.length("piece"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), total // PIECE_BYTES)
+    hot = written(left.groupBy("anchor").count().filter(F.col("count") > hot_pieces).select("anchor"))
+    if not hot.isEmpty():
+        gone = gone.unionByName(_spread(left.join(hot, "anchor")))
+        left = left.join(hot, "anchor", "left_anti")
     found = left.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))).groupBy("part").applyInArrow(_indexed, "doc_id long, row long, start int, end int")
     return gone.unionByName(found)
 
@@ -367,7 +386,7 @@ def _cut(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: dict[str, str] | None = None, buckets: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: dict[str, str] | None = None, buckets: int | None = None, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """A row per document: doc_id, row (hash of the text), n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
     ``carried`` names columns of ``docs`` to return too, and what to call them.
@@ -376,7 +395,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
         raise ValueError(f"{doc_id} must be an integer, which says what document comes first")
     named = [F.col(f"`{c}`").alias(n) for c, n in (carried or {}).items()]
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *named).withColumn("row", F.xxhash64("text"))
-    spans = repeated_spans(whole.select("doc_id", "row", "text"), buckets)
+    spans = repeated_spans(whole.select("doc_id", "row", "text"), buckets, hot_pieces)
     per_doc = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("row").alias("span_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     same = (F.col("doc_id") == F.col("span_id")) & (F.col("row") == F.col("span_row"))
     return _cut(whole.join(per_doc, same, "left").drop("span_id", "span_row"))

@@ -179,6 +179,13 @@ def removed(rows) -> dict[int, tuple]:
     return out
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT_PIECES, 1])
+def test_repeats_of_hot_anchors(docs, rows, hot):
+    expected = removed(rows[0])
+    for r in repeats.deduplicated(docs, hot_pieces=hot).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected[r.doc_id]
+
+
 def test_repeats(hard, rows, empty):
     expected = removed(rows[0])
     found = repeats.deduplicated(hard, buckets=5).collect()
