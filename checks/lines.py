@@ -37,7 +37,7 @@ def text(sql: str) -> str:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table, spread over the cluster's cores as a many-file table would be."""
+    """The events table with its time as text."""
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
     return df.withColumn("stamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
 

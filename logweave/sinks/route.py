@@ -32,8 +32,10 @@ def route(df: DataFrame) -> DataFrame:
     )
 
 
-def _nested(df: DataFrame) -> DataFrame:
+def _nested(df: DataFrame, spread: int | None = None) -> DataFrame:
     routed = route(df)
+    if spread is not None:  # from the flat columns, all of which count
+        routed = routed.withColumn("__spread", F.pmod(row_spread(routed), F.lit(spread)))
     body = [c for c in routed.columns if c not in ROUTE]
     return to_nested(routed.select(*[F.col(quoted(c)) for c in (*body, *ROUTE)]))
 
@@ -46,19 +48,20 @@ def write_routed(
     files_per_route: int | None = None,
     max_records_per_file: int = 5_000_000,
     checkpoint: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery | None:
     """Write nested records under type / dataset / namespace folders, batch or stream.
 
     Without ``files_per_route`` nothing is shuffled and each task writes to the routes it holds.
     With it, every route is spread over that many tasks, so one route with most of the rows does
-    not end up in one task.
+    not end up in one task. A stream takes what there is and ends, or runs on under ``trigger``, such as
+    ``{"processingTime": "10 seconds"}``.
     """
-    out = _nested(df)
+    out = _nested(df, files_per_route)
     if files_per_route is not None:
-        spread = F.pmod(row_spread(out), F.lit(files_per_route))
-        out = out.withColumn("__spread", spread).repartition(*ROUTE, "__spread").drop("__spread")
+        out = out.repartition(*ROUTE, "__spread").drop("__spread")
     if df.isStreaming:
-        writer = out.writeStream.format(fmt).partitionBy(*ROUTE).trigger(availableNow=True)
+        writer = out.writeStream.format(fmt).partitionBy(*ROUTE).trigger(**(trigger or {"availableNow": True}))
         return writer.option("path", path).option("checkpointLocation", checkpoint).start()
     (
         out.write.format(fmt).mode(mode).partitionBy(*ROUTE)

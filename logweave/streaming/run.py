@@ -7,7 +7,7 @@ become stream-static joins. This module adds dictionaries that are read again wh
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -48,16 +48,19 @@ def stream_chain(
     checkpoint: str,
     available_now: bool = False,
     every: str = "10 seconds",
+    tables: Iterable[RefreshingTable] = (),
 ) -> StreamingQuery:
-    """Run ``chain()`` on each micro-batch and hand the result to ``write(batch, batch_id)``.
+    """Run ``chain()`` on a stream and hand each micro-batch of the result to ``write(batch, batch_id)``.
 
-    The chain is made anew per batch, so refreshed lookups take effect. A batch may be delivered
-    again after a failure: ``write`` must replace what an earlier try of the same id left.
+    Without ``tables`` the chain is built once, for the whole stream. With them it is built for each batch, so that what
+    they refreshed takes effect; choose ``every`` longer than building takes. A batch may be delivered again after a
+    failure: ``write`` must replace what an earlier try of the same id left.
     """
+    fresh = bool(list(tables))
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        write(chain().apply(batch), batch_id)
+        write(chain().apply(batch) if fresh else batch, batch_id)
 
-    writer = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    writer = (stream if fresh else chain().apply(stream)).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
     return writer.start()

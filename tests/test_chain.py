@@ -155,7 +155,7 @@ def test_refreshed_dictionary_in_stream(spark, tmp_path):
     chain = lambda: Chain([stage("s", translate("type", "t", table.current(), "none"))])
     write = lambda b, i: b.write.mode("overwrite").json(f"{tmp_path}/out/batch={i}")
     stream = read_logs(spark, str(tmp_path / "in"), preset="syslog", stream=True, maxFilesPerTrigger=1)
-    query = stream_chain(stream, chain, write, str(tmp_path / "cp"), available_now=True)
+    query = stream_chain(stream, chain, write, str(tmp_path / "cp"), available_now=True, tables=[table])
     assert query.awaitTermination(120)
     assert spark.read.json(f"{tmp_path}/out").filter("t = 'none'").count() == 63 and len(built) >= 1
 
