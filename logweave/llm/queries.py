@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.common import table
+from logweave.llm.license_scan import BASE_PHRASES, LEAST_SHARE, NEIGHBOURS, NOTICES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _sql_words(text: str, parting: str) -> str:
+    """Words of a text, A-Z lower-cased, as a DuckDB list."""
+    return f"list_filter(string_split_regex(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{parting}'), lambda x: x <> '')"
+
+
+_SPACED, _LETTERED = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,7 +72,29 @@ def op6_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
-@query("op9_license_diagonals")
+_TEMPLATES = ", ".join(f"({i}, '{label}', {phrase}, '{text}')" for i, (label, phrase, text) in enumerate(
+    [(a, "true", t) for a, t in BASE_PHRASES] + [(a, "false", t) for a, t in NOTICES]))
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_sql_words("text", _LETTERED)} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d WHERE len(w) > 1),
+t AS (SELECT template, label, phrase, string_split(t, ' ') AS w, len(w) - 1 AS runs FROM (VALUES {_TEMPLATES}) v(template, label, phrase, t)),
+tg AS (SELECT template, label, phrase, runs, unnest(range(0, runs)) AS t_pos, unnest(list_transform(range(1, runs + 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM t),
+v AS (SELECT doc_id, template, label, phrase, runs, pos - t_pos AS diagonal, count(DISTINCT t_pos) AS votes, min(pos) AS low, max(pos) AS high FROM g JOIN tg USING (g) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new FROM v WHERE NOT phrase),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS sighting FROM m),
+found AS (SELECT doc_id, label, phrase, low AS first_pos, 1.0::DOUBLE AS score FROM v WHERE phrase AND votes = runs
+    UNION ALL SELECT doc_id, label, phrase, first_pos, score FROM (SELECT doc_id, template, label, phrase, sighting, min(low) AS first_pos,
+        least(CAST(sum(votes) AS DOUBLE) / runs, 1.0) AS score FROM n GROUP BY doc_id, template, label, phrase, runs, sighting) WHERE score >= {LEAST_SHARE}),
+per_doc AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first_pos) FILTER (phrase) AS first_word, max(first_pos) FILTER (phrase) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+    FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
+@query("op9_license_diagonals", OP9_SQL)
 def op9_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.license_scan import scan_licenses
 
@@ -77,7 +110,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op2_winnowing")
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {_sql_words("text", _LETTERED)} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_sql_words("text", _LETTERED)} AS w, least(10, len(w)) AS n FROM benchmark),
+bw AS (SELECT item, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM b WHERE n > 0),
+dw AS (SELECT doc_id, n, unnest(range(0, len(w) - n + 1)) AS pos, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g
+    FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+hits AS (SELECT DISTINCT doc_id, pos, n, item FROM dw JOIN bw USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op2_winnowing", OP2_SQL)
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.decontaminate import contamination
 
@@ -114,7 +161,19 @@ def op4_attentive_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, train(docs, labels))
 
 
-@query("op1_ngram_join")
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_sql_words("text", _SPACED)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+e AS (SELECT doc_id, unnest(g) AS g, len(g) AS n FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(y) AS component_id FROM s JOIN reach ON x = doc_id GROUP BY doc_id, g
+"""
+
+
+@query("op1_ngram_join", OP1_SQL)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.ngram_join import near_duplicates
 
