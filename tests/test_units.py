@@ -75,7 +75,7 @@ def test_longest_prefix_against_brute_force(spark, small):
     ips = ["10.1.2.130", "10.1.2.131", "10.1.2.1", "10.1.3.1", "10.2.0.1", "9.9.9.9", "200.1.1.1", "2001:db8:1:2::9",
            "2001:db8:1:3::9", "2001:db8:2::9", "2001:db9::1", "::1", "::2", "bad"]
     table = literal_table(spark, [(n, f"n{i}") for i, n in enumerate(nets)], ["network", "city_name"])
-    known = NetworkTable(table, broadcast_bytes=1 << 20 if small else 0)
+    known = NetworkTable(table, size=1 << 20 if small else None)
     out = run(rows(spark, "ip", ips), geoip("ip", known, "geo"))
     for ip, city in out.select("ip", "`geo.city_name`").collect():
         try:
