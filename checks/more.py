@@ -152,3 +152,53 @@ def places_all(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "events").select("event_id", *(address.alias(n) for n in ("source.ip", "destination.ip", "client.ip", "openvpn.client.ip")), tags)
     return pick(run(df, *enrich.places(city, asn)), "event_id", "tags", source="source.geo.country_name", destination="destination.geo.country_name",
                 client="client.geo.country_name", vpn="openvpn.client.geo.country_name", owner="source.geo.as_name")
+
+
+_KEA = f"[hwtype=1 ', {L.MAC}, '], cid=[01:02], tid=0x1f"
+_KEA_TEXT = f"""CASE event_id % 5 WHEN 0 THEN 'INFO [t.1] DHCP4_QUERY_LABEL received query' WHEN 1 THEN concat('REBOOT {_KEA}: moved to ', {L.SOURCE_IP})
+    WHEN 2 THEN concat('ADVERT {_KEA}: lease ', {L.SOURCE_IP}) WHEN 3 THEN concat('ALLOC {_KEA}: lease ', {L.SOURCE_IP}, ' for x 3600') ELSE 'EXECUTE all' END"""
+
+
+@query("kea_dhcp4_forms", f"""
+    SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'DHCP4_QUERY_LABEL' WHEN 1 THEN 'REBOOT' WHEN 2 THEN 'ADVERT' WHEN 3 THEN 'ALLOC' ELSE 'EXECUTE' END AS operation,
+      CASE WHEN event_id % 5 BETWEEN 1 AND 3 THEN {L.MAC} END AS mac, CASE WHEN event_id % 5 BETWEEN 1 AND 3 THEN {L.SOURCE_IP} END AS ip,
+      CASE WHEN event_id % 5 BETWEEN 1 AND 3 THEN '0x1f' END AS lease, CASE event_id % 5 WHEN 0 THEN 'received query' END AS message,
+      CASE event_id % 5 WHEN 4 THEN ' all' END AS executed FROM events""")
+def kea_dhcp4_forms(spark: SparkSession, sf: str) -> DataFrame:
+    df = as_events(L.events(spark, sf).withColumn("line", F.expr(L.text(f"concat({L.header('kea-dhcp4')}, {_KEA_TEXT})"))), "line", preset="syslog")
+    k = "kea.dhcp."
+    return pick(chain_of(*apps.kea_dhcp()).apply(df), "event_id", operation=k + "operation", mac=k + "client.mac", ip=k + "client.ip", lease=k + "lease.id",
+                message=k + "message", executed="kea.message")
+
+
+@query("kea_dhcp6", "SELECT event_id, concat('any text ', CAST(event_id AS VARCHAR)) AS filter_message, 'pfelk,firewall_raw,kea-dhcp,dhcp6' AS tags, 'pfelk.kea-dhcp6' AS dataset FROM events")
+def kea_dhcp6(spark: SparkSession, sf: str) -> DataFrame:
+    line = f"concat({L.header('kea-dhcp6')}, 'any text ', event_id)"
+    df = as_events(L.events(spark, sf).withColumn("line", F.expr(line)), "line", preset="syslog")
+    return pick(chain_of(*apps.kea_dhcp()).apply(df), "event_id", "filter_message", "tags", dataset="event.dataset")
+
+
+_LEASES = f"""CASE event_id % 7 WHEN 0 THEN concat('DHCPDISCOVER from ', {L.MAC}, ' (box) via igb1') WHEN 1 THEN concat('DHCPREQUEST for ', {L.SOURCE_IP}, ' from ', {L.MAC}, ' via igb1')
+    WHEN 2 THEN concat('DHCPRELEASE of ', {L.SOURCE_IP}, ' from ', {L.MAC}, ' via igb1 (found)') WHEN 3 THEN concat('DHCPDECLINE of ', {L.SOURCE_IP}, ' from ', {L.MAC}, ' via igb1')
+    WHEN 4 THEN concat('DHCPNACK on ', {L.SOURCE_IP}, ' to ', {L.MAC}, ' via igb1') WHEN 5 THEN concat('DHCPINFORM from ', {L.SOURCE_IP}, ' via igb1')
+    ELSE 'Reply NA: address 2001:db8::5 to client with duid 00:01 iaid = 7 valid for 3600 seconds' END"""
+
+
+@query("dhcp_patterns", f"""
+    SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'DISCOVER' WHEN 1 THEN 'REQUEST' WHEN 2 THEN 'RELEASE' WHEN 3 THEN 'DECLINE' WHEN 4 THEN 'NACK' WHEN 5 THEN 'INFORM' END AS operation,
+      CASE WHEN event_id % 7 < 5 THEN {L.MAC} END AS mac, CASE WHEN event_id % 7 BETWEEN 1 AND 5 THEN {L.SOURCE_IP} END AS ip, CASE WHEN event_id % 7 < 6 THEN 'igb1' END AS interface,
+      CASE event_id % 7 WHEN 0 THEN 'box' END AS hostname, CASE event_id % 7 WHEN 6 THEN 'Reply' END AS v6, CASE event_id % 7 WHEN 6 THEN '2001:db8::5' END AS v6_ip,
+      CASE event_id % 7 WHEN 6 THEN '3600' END AS seconds FROM events""")
+def dhcp_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "events").select("event_id", F.expr(L.text(_LEASES)).alias("line"))
+    return pick(run(df, grok("line", "%{DHCPD}")), "event_id", operation="dhcp.operation", mac="dhcpv4.client.mac", ip="dhcpv4.client.ip", interface="interface.name",
+                hostname="dhcpv4.option.hostname", v6="dhcpv6.operation", v6_ip="dhcpv6.client.ip", seconds="dhcpv6.lease.duration")
+
+
+@query("user_agent_stage", """
+    SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'Linux' END AS os, CASE WHEN event_id % 2 = 0 THEN 'Linux' END AS os_full,
+      CASE WHEN event_id % 2 = 0 THEN 'phone' END AS device_name, CAST(7 AS BIGINT) AS length FROM events""")
+def user_agent_stage(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "events").select("event_id", F.lit("agent 1").alias("user_agent.original"), F.lit("Linux").alias("user_agent.os"), F.lit("phone").alias("user_agent.device"),
+                                           F.expr("CASE WHEN event_id % 2 = 0 THEN 'true' END").alias("@metadata.ua_parse"))
+    return pick(run(df, *enrich.user_agents()), "event_id", os="user_agent.os", os_full="user_agent.os.full", device_name="user_agent.device.name", length="user_agent.meta.total_length")
