@@ -348,7 +348,9 @@ def near_duplicates(
     classes = marks.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"))
     classes = written(classes)
     maybe = classes.filter(F.col("shared") * 100 >= SIMILARITY * F.col("n")).select(F.col("rep").alias("maybe")).distinct()
-    sets = written(_sets(rows.join(maybe, rows["doc_id"] == maybe["maybe"], "left_semi"), words))
+    # by shuffle at every size: the list of survivors grows with the table
+    left = rows.join(maybe.hint("merge"), rows["doc_id"] == maybe["maybe"], "left_semi")
+    sets = written(_sets(left, words))
     links = _units(sets, unit_shingles).groupBy("component", "i", "j").applyInArrow(_unit, "a long, b long")
     found = components(links)
     named = sets.select("no", "key").join(found, F.col("no") == F.col("node")).join(classes.select(F.col("key").alias("k"), "rep"), F.col("key") == F.col("k"))
