@@ -79,8 +79,8 @@ def _first_least(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first and last window (from the document's start), anchor hash and piece hash of all pieces, in order."""
+def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and last window (from the document's start), anchor's place in the piece, anchor hash and piece hash."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size) - size
     b = np.frombuffer(b"".join(texts) + bytes(2 * SPAN), np.uint8)
@@ -96,7 +96,7 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     f, l, p = at[first], at[last], place[first]
     shape = ((l - f) * 128 + (p - f)).astype(np.uint64)
     piece = mixed(whole[f] * MIX + whole[l] + shape * _ODD[3])
-    return doc[first], f - begin[doc[first]], l - begin[doc[first]], anchor[p], piece
+    return doc[first], f - begin[doc[first]], l - begin[doc[first]], p - f, anchor[p], piece
 
 
 def _bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
         at = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                doc, _, _, anchor, piece = pieces([t or b"" for t in binary(batch.column("text"))])
+                doc, _, _, _, anchor, piece = pieces([t or b"" for t in binary(batch.column("text"))])
                 bucket = _bucket_of(anchor, buckets)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -204,7 +204,7 @@ def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[starts], end[np.append(starts[1:], len(first)) - 1]
 
 
-_STAGED = "doc_id long, row long, start int, end int, anchor long, piece binary"
+_STAGED = "doc_id long, row long, start int, end int, anchor long, at int, piece binary"
 
 
 def _answered(docs: DataFrame, buckets: int) -> DataFrame:
@@ -214,37 +214,46 @@ def _answered(docs: DataFrame, buckets: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 texts, codes = binary(batch.column("text")), batch.column("codes").to_pylist()
-                doc, first, last, anchor, _ = pieces(texts)
+                doc, first, last, place, anchor, _ = pieces(texts)
                 ends = np.searchsorted(doc, np.arange(len(texts) + 1))
                 bucket = _bucket_of(anchor, buckets)
-                out = {"i": [], "start": [], "end": [], "anchor": [], "piece": []}
+                out: dict[str, list] = {"i": [], "start": [], "end": [], "anchor": [], "at": [], "piece": []}
                 for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
                     code = np.empty(b - a, np.uint8)
                     code[np.argsort(bucket[a:b], kind="stable")] = np.frombuffer(codes[i], np.uint8)
                     gone, ask = np.flatnonzero(code == _GONE) + a, np.flatnonzero(code == _ASK) + a
                     for s, e in zip(*(x.tolist() for x in _spans(first[gone], last[gone])), strict=True):
-                        out["i"].append(i), out["start"].append(s), out["end"].append(e), out["anchor"].append(None), out["piece"].append(None)
-                    for s, e, h in zip(first[ask].tolist(), (last[ask] + SPAN).tolist(), anchor[ask].view(np.int64).tolist(), strict=True):
-                        out["i"].append(i), out["start"].append(s), out["end"].append(e), out["anchor"].append(h), out["piece"].append(texts[i][s:e])
+                        out["i"].append(i), out["start"].append(s), out["end"].append(e), out["anchor"].append(None), out["at"].append(None), out["piece"].append(None)
+                    for s, e, p, h in zip(first[ask].tolist(), (last[ask] + SPAN).tolist(), place[ask].tolist(), anchor[ask].view(np.int64).tolist(), strict=True):
+                        out["i"].append(i), out["start"].append(s), out["end"].append(e), out["anchor"].append(h), out["at"].append(p), out["piece"].append(texts[i][s:e])
                 take = pa.array(out["i"], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(out["start"], pa.int32()), pa.array(out["end"], pa.int32()),
-                     pa.array(out["anchor"], pa.int64()), pa.array(out["piece"], pa.binary())],
-                    names=["doc_id", "row", "start", "end", "anchor", "piece"],
+                     pa.array(out["anchor"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["piece"], pa.binary())],
+                    names=["doc_id", "row", "start", "end", "anchor", "at", "piece"],
                 )
 
     return docs.mapInArrow(run, _STAGED)
 
 
+_LEVEL = np.frexp(np.arange(1 << 12, dtype=np.float64))[1].astype(np.int8) - 1
+_LEVEL[0] = 0
+
+
 def _between(lcp: np.ndarray, before: np.ndarray, here: np.ndarray) -> np.ndarray:
     """The least common prefix from just after ``before`` up to ``here``, for all pairs."""
     gap = here - before
-    level = np.frexp(gap.astype(np.float64))[1] - 1
-    out, best = np.empty(len(gap), np.uint8), lcp
-    for k in range(int(level.max()) + 1 if len(level) else 0):
-        asked = np.flatnonzero(level == k)
-        out[asked] = np.minimum(best[before[asked] + 1], best[here[asked] - (1 << k) + 1])
+    level = np.where(gap < len(_LEVEL), _LEVEL[np.minimum(gap, len(_LEVEL) - 1)], np.frexp(gap.astype(np.float32))[1] - 1 if int(gap.max(initial=0)) >= len(_LEVEL) else 0).astype(np.uint8)
+    order = np.argsort(level, kind="stable")
+    before, here = before[order], here[order]
+    ends = np.cumsum(np.bincount(level, minlength=1))
+    found, best = np.empty(len(gap), np.uint8), lcp
+    for k, end in enumerate(ends.tolist()):
+        own = slice(ends[k - 1] if k else 0, end)
+        found[own] = np.minimum(best[before[own] + 1], best[here[own] - (1 << k) + 1])
         best = np.minimum(best[: -(1 << k)], best[1 << k :])
+    out = np.empty(len(gap), np.uint8)
+    out[order] = found
     return out
 
 
@@ -257,30 +266,30 @@ def collection_index(texts: list[bytes], most: int = SPAN) -> tuple[np.ndarray,
     shorter suffixes. Common prefixes are counted up to ``most``. End marks differ from each other and from all symbols.
     """
     m = len(texts)
-    size = np.fromiter(map(len, texts), np.int32, m)
+    size = np.fromiter(map(len, texts), np.int64, m)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     used, symbol = np.unique(flat, return_inverse=True)  # UTF-8 leaves more than one value unused
-    symbol = np.append(symbol + 1, 0).astype(np.uint8 if len(used) < 256 else np.uint16)
-    begin = np.cumsum(size, dtype=np.int64) - size
-
-    def before(text: np.ndarray, start: np.ndarray) -> np.ndarray:
-        return np.where(start > 0, symbol[begin[text] + start - 1], 0).astype(symbol.dtype)
-
-    none = np.arange(m, dtype=np.int32)
-    text, start, lcp = none, size, np.zeros(m, np.uint8)
-    bwt = before(text, start)
+    # a slot for each suffix of each text, the empty one last, with the symbol before it
+    end = (np.cumsum(size + 1) - 1).astype(np.int32)
+    owner = np.repeat(np.arange(m, dtype=np.int32), size + 1)
+    prior = np.zeros(len(owner), np.uint8 if len(used) < 256 else np.uint16)
+    inner = np.ones(len(owner), bool)
+    inner[end - size] = False
+    prior[inner] = symbol + 1
+    slot, lcp = end, np.zeros(m, np.uint8)
+    bwt = prior[slot]
     for _ in range(int(size.max()) if m else 0):
         ranked = np.argsort(bwt, kind="stable")
         ranked = ranked[np.count_nonzero(bwt == 0) :]
         first = bwt[ranked]
         same = np.flatnonzero(first[1:] == first[:-1])
         grown = np.zeros(len(ranked), np.uint8)
-        grown[same + 1] = np.minimum(_between(lcp, ranked[same], ranked[same + 1]).astype(np.int16) + 1, most)
-        text = np.concatenate([none, text[ranked]])
-        start = np.concatenate([size, start[ranked] - 1])
+        grown[same + 1] = np.minimum(_between(lcp, ranked[same], ranked[same + 1]), most - 1) + 1
+        slot = np.concatenate([end, slot[ranked] - 1])
         lcp = np.concatenate([np.zeros(m, np.uint8), grown])
-        bwt = before(text, start)
-    return text, start, bwt, lcp
+        bwt = prior[slot]
+    text = owner[slot]
+    return text, slot - (end - size)[text].astype(np.int64), bwt, lcp
 
 
 def repeated_windows(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,8 +309,28 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, n
     return text[gone], start[gone]
 
 
+def _met(texts: list[bytes], anchor: list[int], at: list[int], doc: list[int]) -> list[int]:
+    """Pieces that can share a window with one of another document.
+
+    A window is its anchor and SPAN - K bytes around it, so at least half of these lie on one side of it: pieces that
+    share a window agree on the anchor and that many bytes on one of its sides.
+    """
+    half = -(-(SPAN - K) // 2)
+    sides: list[tuple] = []
+    owner: dict[tuple, int] = {}
+    for t, h, p, d in zip(texts, anchor, at, doc, strict=True):
+        left = (h, 0, t[p - half : p]) if p >= half else None
+        right = (h, 1, t[p + K : p + K + half]) if len(t) - p - K >= half else None
+        sides.append((left, right))
+        for side in (left, right):
+            if side is not None and owner.setdefault(side, d) != d:
+                owner[side] = -1 << 63
+    return [i for i, own in enumerate(sides) if any(s is not None and owner[s] == -1 << 63 for s in own)]
+
+
 def _indexed(group: pa.Table) -> pa.Table:
     """Spans that go from the pieces of a bucket."""
+    group = group.take(pa.array(_met(*(group.column(c).to_pylist() for c in ("piece", "anchor", "at", "doc_id"))), pa.int64()))
     doc, row, first = (group.column(c).to_numpy() for c in ("doc_id", "row", "start"))
     text, start = repeated_windows(group.column("piece").to_pylist(), doc)
     order = np.lexsort((start, text))
@@ -325,9 +354,9 @@ HOT_PIECES = 100_000
 
 def _spread(pieces_: DataFrame) -> DataFrame:
     """Spans that go from pieces of anchors that too many different pieces have: each window on its own, by its bytes."""
-    at = F.sequence(F.lit(0), F.length("piece") - SPAN)
-    windows = pieces_.select("doc_id", "row", "start", "piece", F.explode(at).alias("at")).select(
-        "doc_id", "row", (F.col("start") + F.col("at")).alias("start"), F.substring("piece", F.col("at") + 1, F.lit(SPAN)).alias("window")
+    shift = F.sequence(F.lit(0), F.length("piece") - SPAN)
+    windows = pieces_.select("doc_id", "row", "start", "piece", F.explode(shift).alias("shift")).select(
+        "doc_id", "row", (F.col("start") + F.col("shift")).alias("start"), F.substring("piece", F.col("shift") + 1, F.lit(SPAN)).alias("window")
     )
     least = windows.groupBy("window").agg(F.min("doc_id").alias("least"))
     gone = windows.join(least, "window").filter(F.col("doc_id") > F.col("least"))
@@ -344,7 +373,7 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None, hot_pieces: int
     asked = docs.join(codes, (docs["doc_id"] == codes["code_id"]) & (docs["row"] == codes["code_row"])).select("doc_id", "row", "text", "codes")
     staged = written(_answered(asked, buckets))
     gone = staged.filter("piece IS NULL").select("doc_id", "row", "start", "end")
-    left = staged.filter("piece IS NOT NULL").select("doc_id", "row", "start", "anchor", "piece")
+    left = staged.filter("piece IS NOT NULL").select("doc_id", "row", "start", "anchor", "at", "piece")
     total = left.agg(F.sum(F.length("piece"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), total // PIECE_BYTES)
     hot = written(left.groupBy("anchor").count().filter(F.col("count") > hot_pieces).select("anchor"))

@@ -15,7 +15,7 @@ from logweave.llm.decontaminate import _kept, _runs
 from logweave.llm.ngram_join import unit_links
 from logweave.llm.packing import OpenWindows, best_fit
 from logweave.llm.page_wrapper import Wrapper, folded, merged, tokens
-from logweave.llm.repeats import SPAN, collection_index, pieces, repeated_windows
+from logweave.llm.repeats import SPAN, _met, collection_index, pieces, repeated_windows
 from logweave.llm.rule_ensemble import Test as RuleTest
 from logweave.llm.rule_ensemble import fit as fit_rules
 from logweave.llm.text_stats import COUNTS, text_counts
@@ -96,7 +96,7 @@ def test_repeated_windows_and_pieces():
     rng = random.Random(3)
     base = bytes(rng.choice(b"abcdef ") for _ in range(400))
     texts = [base[:200], base[100:300], b"x" * 160, b"x" * 60 + base[:90], b"", b"short"]
-    doc, first, last, anchor, piece = pieces(texts)
+    doc, first, last, place, anchor, piece = pieces(texts)
     covered = {(d, w) for d, f, l in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True) for w in range(f, l + 1)}
     assert covered == {(d, w) for d, t in enumerate(texts) for w in range(len(t) - SPAN + 1)}
     by_window: dict[bytes, set] = {}
@@ -105,6 +105,9 @@ def test_repeated_windows_and_pieces():
         for w in range(f, l + 1):
             by_window.setdefault(texts[d][w : w + SPAN], set()).add(a)
     assert all(len(a) == 1 for a in by_window.values())
+    met = _met([texts[d][f : l + SPAN] for d, f, l in zip(doc, first, last, strict=True)], anchor.tolist(), place.tolist(), doc.tolist())
+    shared = {d for d in range(4) for e in range(4) if d != e and {texts[d][i : i + SPAN] for i in range(len(texts[d]) - SPAN + 1)} & {texts[e][i : i + SPAN] for i in range(len(texts[e]) - SPAN + 1)}}
+    assert {int(doc[i]) for i in met} >= shared == {0, 1, 2, 3}
     found = set(zip(*(x.tolist() for x in repeated_windows(texts, np.array([5, 3, 9, 1, 2, 4]))), strict=True))
     ids, expected = [5, 3, 9, 1, 2, 4], set()
     for i, t in enumerate(texts):
