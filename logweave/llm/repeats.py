@@ -8,8 +8,9 @@
    pieces whose anchor stands in other surroundings in other documents: the edges of repeated passages.
 3. Those pieces, with their bytes, are indexed bucket by bucket. The multi-document Burrows-Wheeler transform is built
    column by column (Bauer, Cox and Rosone 2013): each round inserts, for every piece, the suffix that is one symbol longer; the
-   transform, the suffixes' places and the common prefixes of neighbours are updated in one sequential pass over the
-   round before. Where neighbours share 50 bytes they form an interval; windows in it go if it holds a smaller id.
+   transform and the suffixes' places are updated in one sequential pass over the round before. The common prefixes of
+   neighbours are counted after the last round: kept up to date in every round they took two thirds of the time. Where
+   neighbours share 50 bytes they form an interval; windows in it go if it holds a smaller id.
 4. Removed windows return to their documents as spans.
 
 A bucket holds a bounded share of all anchors, whatever the texts. An anchor with more than ``HOT_PIECES`` different pieces
@@ -38,7 +39,7 @@ from logweave.llm.common import MIX, binary, mixed, shuffle_partitions, slices,
 
 SPAN = 50
 K = 24
-SLICE = 3 << 20
+SLICE = 1 << 20
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -104,6 +105,10 @@ def _bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 _GONE, _ASK = 1, 2
+_SEVERAL = -1 << 63
+_STEPS = (0, 7, 13, 20, SPAN - K)
+_SIDES = [(left, SPAN - K - more) for left, more in zip(_STEPS, _STEPS[1:], strict=False)]
+"""Bytes on the left and on the right of an anchor: a window with any split of the rest has one of these pairs."""
 
 
 def _deal(docs: DataFrame, buckets: int) -> DataFrame:
@@ -236,60 +241,40 @@ def _answered(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, _STAGED)
 
 
-_LEVEL = np.frexp(np.arange(1 << 12, dtype=np.float64))[1].astype(np.int8) - 1
-_LEVEL[0] = 0
-
-
-def _between(lcp: np.ndarray, before: np.ndarray, here: np.ndarray) -> np.ndarray:
-    """The least common prefix from just after ``before`` up to ``here``, for all pairs."""
-    gap = here - before
-    level = np.where(gap < len(_LEVEL), _LEVEL[np.minimum(gap, len(_LEVEL) - 1)], np.frexp(gap.astype(np.float32))[1] - 1 if int(gap.max(initial=0)) >= len(_LEVEL) else 0).astype(np.uint8)
-    order = np.argsort(level, kind="stable")
-    before, here = before[order], here[order]
-    ends = np.cumsum(np.bincount(level, minlength=1))
-    found, best = np.empty(len(gap), np.uint8), lcp
-    for k, end in enumerate(ends.tolist()):
-        own = slice(ends[k - 1] if k else 0, end)
-        found[own] = np.minimum(best[before[own] + 1], best[here[own] - (1 << k) + 1])
-        best = np.minimum(best[: -(1 << k)], best[1 << k :])
-    out = np.empty(len(gap), np.uint8)
-    out[order] = found
-    return out
-
-
 def collection_index(texts: list[bytes], most: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes of a collection in order: text, start, preceding symbol (0: none) and common prefix with the one before.
 
     Round by round the suffix that is one symbol longer is inserted for each text. A suffix stands where the transform of
     the round before has its first symbol, counted among the equal symbols before it; so one stable pass by symbol gives
-    the new order. Neighbours with the same first symbol have one symbol more in common than what lay between their
-    shorter suffixes. Common prefixes are counted up to ``most``. End marks differ from each other and from all symbols.
+    the new order. Common prefixes of neighbours, up to ``most``, are counted when the last round is done. End marks differ
+    from each other and from all symbols.
     """
     m = len(texts)
     size = np.fromiter(map(len, texts), np.int64, m)
     flat = np.frombuffer(b"".join(texts), np.uint8)
     used, symbol = np.unique(flat, return_inverse=True)  # UTF-8 leaves more than one value unused
-    # a slot for each suffix of each text, the empty one last, with the symbol before it
+    kind = np.uint8 if len(used) < 256 else np.uint16
+    # a slot for each suffix of each text, the empty one last: its first symbol, and the symbol before it
     end = (np.cumsum(size + 1) - 1).astype(np.int32)
     owner = np.repeat(np.arange(m, dtype=np.int32), size + 1)
-    prior = np.zeros(len(owner), np.uint8 if len(used) < 256 else np.uint16)
     inner = np.ones(len(owner), bool)
-    inner[end - size] = False
-    prior[inner] = symbol + 1
-    slot, lcp = end, np.zeros(m, np.uint8)
-    bwt = prior[slot]
+    inner[end] = False
+    here, before = np.zeros(len(owner), kind), np.zeros(len(owner), kind)
+    here[inner] = symbol + 1
+    before[1:] = here[:-1]
+    slot = end
     for _ in range(int(size.max()) if m else 0):
+        bwt = before[slot]
         ranked = np.argsort(bwt, kind="stable")
-        ranked = ranked[np.count_nonzero(bwt == 0) :]
-        first = bwt[ranked]
-        same = np.flatnonzero(first[1:] == first[:-1])
-        grown = np.zeros(len(ranked), np.uint8)
-        grown[same + 1] = np.minimum(_between(lcp, ranked[same], ranked[same + 1]), most - 1) + 1
-        slot = np.concatenate([end, slot[ranked] - 1])
-        lcp = np.concatenate([np.zeros(m, np.uint8), grown])
-        bwt = prior[slot]
+        slot = np.concatenate([end, slot[ranked[np.count_nonzero(bwt == 0) :]] - 1])
+    lcp = np.zeros(len(slot), np.uint8)
+    alive = np.arange(1, len(slot))
+    for k in range(most):
+        left = here[slot[alive - 1] + k]
+        alive = alive[(left != 0) & (left == here[slot[alive] + k])]
+        lcp[alive] += 1
     text = owner[slot]
-    return text, slot - (end - size)[text].astype(np.int64), bwt, lcp
+    return text, slot - (end - size)[text].astype(np.int64), before[slot], lcp
 
 
 def repeated_windows(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,20 +297,18 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, n
 def _met(texts: list[bytes], anchor: list[int], at: list[int], doc: list[int]) -> list[int]:
     """Pieces that can share a window with one of another document.
 
-    A window is its anchor and SPAN - K bytes around it, so at least half of these lie on one side of it: pieces that
-    share a window agree on the anchor and that many bytes on one of its sides.
+    A window is its anchor with SPAN - K bytes around it, some on the left, the rest on the right. Pieces that share one
+    agree on the anchor and, for one of the ``_SIDES``, on that many bytes on either side.
     """
-    half = -(-(SPAN - K) // 2)
-    sides: list[tuple] = []
     owner: dict[tuple, int] = {}
+    keys: list[list[tuple]] = []
     for t, h, p, d in zip(texts, anchor, at, doc, strict=True):
-        left = (h, 0, t[p - half : p]) if p >= half else None
-        right = (h, 1, t[p + K : p + K + half]) if len(t) - p - K >= half else None
-        sides.append((left, right))
-        for side in (left, right):
-            if side is not None and owner.setdefault(side, d) != d:
-                owner[side] = -1 << 63
-    return [i for i, own in enumerate(sides) if any(s is not None and owner[s] == -1 << 63 for s in own)]
+        own = [(h, i, t[p - left : p + K + right]) for i, (left, right) in enumerate(_SIDES) if p >= left and len(t) >= p + K + right]
+        keys.append(own)
+        for k in own:
+            if owner.setdefault(k, d) != d:
+                owner[k] = _SEVERAL
+    return [i for i, own in enumerate(keys) if any(owner[k] == _SEVERAL for k in own)]
 
 
 def _indexed(group: pa.Table) -> pa.Table:
@@ -366,7 +349,7 @@ def _spread(pieces_: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, buckets: int | None = None, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """``docs`` (doc_id long, row, text) to (doc_id, row, start, end): bytes to remove; spans of a document may overlap."""
     spark = docs.sparkSession
-    buckets = buckets or max(64, shuffle_partitions(spark))
+    buckets = buckets or max(128, shuffle_partitions(spark))
     dealt = _deal(docs.filter("doc_id IS NOT NULL"), buckets)
     judged = dealt.groupBy("bucket").applyInArrow(_judge, dealt.schema)
     codes = judged.groupBy("slice").applyInArrow(_gather, "code_id long, code_row long, codes binary").dropDuplicates(["code_id", "code_row"])
