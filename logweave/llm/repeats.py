@@ -2,10 +2,11 @@
 
 1. Every 50-byte window of a text has an anchor, the run of ``K`` bytes with the least hash in it, the first among equals.
    Equal windows have equal anchors, so only windows of one anchor need comparing. Neighbouring windows mostly share their
-   anchor; together they are a piece of less than 100 bytes, which its first and last window determine.
-2. Hashes of anchors and pieces are dealt to buckets, many documents to a row. A piece that stands in a document with a
-   smaller id is removed whole. Anchors that only one document has are done with. What is left are first occurrences of
-   pieces whose anchor stands in other surroundings in other documents: the edges of repeated passages.
+   anchor; together they are a piece of less than 100 bytes.
+2. Hashes of anchors and 128-bit digests of the bytes of pieces are dealt to buckets, many documents to a row. A piece that
+   stands in a document with a smaller id is removed whole. Anchors that only one document has are done with. What is left
+   are first occurrences of pieces whose anchor stands in other surroundings in other documents: the edges of repeated
+   passages.
 3. Those pieces, with their bytes, are indexed bucket by bucket. The multi-document Burrows-Wheeler transform is built
    column by column (Bauer, Cox and Rosone 2013): each round inserts, for every piece, the suffix that is one symbol longer; the
    transform and the suffixes' places are updated in one sequential pass over the round before. The common prefixes of
@@ -30,22 +31,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from logweave.llm.common import MIX, binary, mixed, shuffle_partitions, slices, written
+from logweave.llm.common import binary, mixed, shuffle_partitions, slices, written
 
 SPAN = 50
 K = 24
 SLICE = 1 << 20
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``K`` and of ``SPAN`` bytes from each position on; positions that reach beyond the end hold anything."""
+def _hashes(b: np.ndarray) -> np.ndarray:
+    """Hashes of ``K`` bytes from each position on, to choose anchors by; positions that reach beyond the end hold anything."""
     n = len(b)
 
     def join(left: np.ndarray, right: np.ndarray, at: int, odd: np.uint64) -> np.ndarray:
@@ -58,9 +60,7 @@ def _hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h4 = join(h2, h2, 2, _ODD[1])
     h8 = join(h4, h4, 4, _ODD[2])
     h16 = join(h8, h8, 8, _ODD[3])
-    h24 = join(h16, h8, 16, _ODD[4])
-    h48 = join(h24, h24, 24, _ODD[5])
-    return mixed(h24), join(h48, h2, 48, _ODD[0])
+    return mixed(join(h16, h8, 16, _ODD[4]))
 
 
 def _first_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -80,12 +80,15 @@ def _first_least(h: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first and last window (from the document's start), anchor's place in the piece, anchor hash and piece hash."""
+def pieces(texts: list[bytes], digests: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and last window (from the document's start), anchor's place in the piece, anchor hash and digest.
+
+    The digest is of all bytes of the piece, 128 bits as a row of four numbers; without ``digests`` there are no rows.
+    """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size) - size
-    b = np.frombuffer(b"".join(texts) + bytes(2 * SPAN), np.uint8)
-    anchor, whole = _hashes(b)
+    joined = b"".join(texts) + bytes(2 * SPAN)
+    anchor = _hashes(np.frombuffer(joined, np.uint8))
     windows = np.maximum(size - SPAN + 1, 0)
     doc = np.repeat(np.arange(len(texts)), windows)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[doc]
@@ -95,9 +98,9 @@ def pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at))[: len(first)] - 1
     f, l, p = at[first], at[last], place[first]
-    shape = ((l - f) * 128 + (p - f)).astype(np.uint64)
-    piece = mixed(whole[f] * MIX + whole[l] + shape * _ODD[3])
-    return doc[first], f - begin[doc[first]], l - begin[doc[first]], p - f, anchor[p], piece
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(joined[s:e]) for s, e in zip(f.tolist(), (l + SPAN).tolist(), strict=True)]) if digests else b""
+    return doc[first], f - begin[doc[first]], l - begin[doc[first]], p - f, anchor[p], np.frombuffer(raw, "<u4").reshape(-1, 4)
 
 
 def _bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -111,6 +114,17 @@ _SIDES = [(left, SPAN - K - more) for left, more in zip(_STEPS, _STEPS[1:], stri
 """Bytes on the left and on the right of an anchor: a window with any split of the rest has one of these pairs."""
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 0 and above in as few bytes each as all of them fit in, that width first."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind.newbyteorder("<")).tobytes()
+
+
+def _unpacked(payload: bytes, count: int, at: int = 0) -> tuple[np.ndarray, int]:
+    """``count`` numbers from ``at`` on, and where they end."""
+    return np.frombuffer(payload, f"<u{payload[at]}", count, at + 1), at + 1 + count * payload[at]
+
+
 def _deal(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of anchors and pieces for the buckets, and a directory row for each slice of documents."""
 
@@ -122,12 +136,13 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                 bucket = _bucket_of(anchor, buckets)
                 order = np.argsort(bucket, kind="stable")
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                entries = np.stack([anchor[order].astype("<u4"), piece[order].astype("<u4")], axis=1)
+                entries = np.concatenate([anchor[order].astype("<u4")[:, None], piece[order]], axis=1)
                 ids = batch.column("doc_id").to_numpy().astype("<i8")
+                named = ids.min().tobytes() + _packed((ids - ids.min()).view(np.uint64))
                 rows = []
                 for b in np.flatnonzero(np.diff(ends)).tolist():
-                    counts = np.bincount(doc[order[ends[b] : ends[b + 1]]], minlength=len(ids)).astype("<u4")
-                    rows.append((b, ids.tobytes() + counts.tobytes() + entries[ends[b] : ends[b + 1]].tobytes()))
+                    counts = np.bincount(doc[order[ends[b] : ends[b + 1]]], minlength=len(ids))
+                    rows.append((b, named + _packed(counts) + entries[ends[b] : ends[b + 1]].tobytes()))
                 m = len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _ in rows] + [buckets + at % buckets], pa.int32()), pa.array([at] * (m + 1), pa.int64()),
@@ -143,9 +158,9 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
 
 def _opened(payload: bytes, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, number of entries of each document, and entries."""
-    ids = np.frombuffer(payload, "<i8", documents)
-    counts = np.frombuffer(payload, "<u4", documents, 8 * documents)
-    return ids, counts, np.frombuffer(payload, "<u4", offset=12 * documents).reshape(-1, 2)
+    above, at = _unpacked(payload, documents, 8)
+    counts, at = _unpacked(payload, documents, at)
+    return above.astype(np.uint64).view(np.int64) + np.frombuffer(payload, "<i8", 1), counts, np.frombuffer(payload, "<u4", offset=at).reshape(-1, 5)
 
 
 def _judge(group: pa.Table) -> pa.Table:
@@ -155,12 +170,13 @@ def _judge(group: pa.Table) -> pa.Table:
     if held:
         opened = [_opened(payloads[i], documents[i]) for i in held]
         doc = np.concatenate([np.repeat(ids, counts) for ids, counts, _ in opened])
-        anchor, piece = np.concatenate([e for _, _, e in opened]).T
-        key = anchor.astype(np.uint64) << np.uint64(32) | piece
-        order = np.lexsort((doc, key))
-        key, d = key[order], doc[order]
+        entries = np.concatenate([e for _, _, e in opened])
+        key = entries[:, 0].astype(np.uint64) << np.uint64(32) | entries[:, 1]
+        middle, rest = entries[:, 2].astype(np.uint64) << np.uint64(32) | entries[:, 3], entries[:, 4]
+        order = np.lexsort((doc, rest, middle, key))
+        key, middle, rest, d = key[order], middle[order], rest[order], doc[order]
         new_piece, new_anchor = np.ones(len(key), bool), np.ones(len(key), bool)
-        new_piece[1:] = key[1:] != key[:-1]
+        new_piece[1:] = (key[1:] != key[:-1]) | (middle[1:] != middle[:-1]) | (rest[1:] != rest[:-1])
         new_anchor[1:] = key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)
         starts = np.flatnonzero(new_anchor)
         of_piece, of_anchor = np.cumsum(new_piece) - 1, np.cumsum(new_anchor) - 1
@@ -170,9 +186,9 @@ def _judge(group: pa.Table) -> pa.Table:
         code = np.empty(len(key), np.uint8)
         code[order] = np.where(d > first, _GONE, np.where(several & shared, _ASK, 0))
         at = 0
-        for i, (_, counts, entries) in zip(held, opened, strict=True):
-            payloads[i] = counts.tobytes() + code[at : at + len(entries)].tobytes()
-            at += len(entries)
+        for i, (_, counts, own) in zip(held, opened, strict=True):
+            payloads[i] = _packed(counts) + code[at : at + len(own)].tobytes()
+            at += len(own)
     return group.set_column(group.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
 
 
@@ -184,9 +200,9 @@ def _gather(group: pa.Table) -> pa.Table:
         if r["payload"] is None:
             ids, rows = r["ids"], r["rows"]
             continue
-        counts = np.frombuffer(r["payload"], "<u4", r["documents"])
+        counts, at = _unpacked(r["payload"], r["documents"])
         owners.append(np.repeat(np.arange(len(counts)), counts))
-        codes.append(np.frombuffer(r["payload"], np.uint8, offset=4 * len(counts)))
+        codes.append(np.frombuffer(r["payload"], np.uint8, offset=at))
     owner = np.concatenate([np.empty(0, np.int64), *owners])
     code = np.concatenate([np.empty(0, np.uint8), *codes])
     order = np.argsort(owner, kind="stable")
@@ -219,7 +235,7 @@ def _answered(docs: DataFrame, buckets: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 texts, codes = binary(batch.column("text")), batch.column("codes").to_pylist()
-                doc, first, last, place, anchor, _ = pieces(texts)
+                doc, first, last, place, anchor, _ = pieces(texts, digests=False)
                 ends = np.searchsorted(doc, np.arange(len(texts) + 1))
                 bucket = _bucket_of(anchor, buckets)
                 out: dict[str, list] = {"i": [], "start": [], "end": [], "anchor": [], "at": [], "piece": []}

@@ -206,6 +206,17 @@ def test_repeats(hard, rows, empty):
         repeats.deduplicated(hard, doc_id="lang")
 
 
+def test_repeats_with_swapped_bytes(spark):
+    """A passage with two neighbouring bytes swapped, at every place: only what is the same may go."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefghijklmnop ") for _ in range(160))
+    texts = [passage] + [f"{passage[:i]}{passage[i + 1]}{passage[i]}{passage[i + 2 :]}" for i in range(len(passage) - 1)]
+    own = [(i, t, None, None, len(t)) for i, t in enumerate(texts)]
+    expected = removed(own)
+    for r in repeats.deduplicated(spark.createDataFrame(own, DOCS).repartition(3, "doc_id")).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected[r.doc_id]
+
+
 def plain_rules(text) -> tuple:
     words = spaced(text)
     three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

@@ -117,6 +117,17 @@ def test_repeated_windows_and_pieces():
     assert found == expected and expected
 
 
+def test_pieces_with_swapped_bytes_differ():
+    rng = random.Random(8)
+    passage = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(160))
+    texts = [passage] + [passage[:i] + passage[i + 1 : i + 2] + passage[i : i + 1] + passage[i + 2 :] for i in range(len(passage) - 1)]
+    doc, first, last, _, _, piece = pieces(texts)
+    by_digest: dict[bytes, set] = {}
+    for d, f, l, own in zip(doc.tolist(), first.tolist(), last.tolist(), piece, strict=True):
+        by_digest.setdefault(own.tobytes(), set()).add(texts[d][f : l + SPAN])
+    assert all(len(own) == 1 for own in by_digest.values()) and len(by_digest) > len(texts)
+
+
 def test_winnowing_keeps_a_run_of_every_shared_span():
     rng = random.Random(5)
     for _ in range(50):
