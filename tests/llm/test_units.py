@@ -268,3 +268,21 @@ def test_wrapper_without_article_drops_fixed_text():
     for p in pages[1:]:
         wrapper = merged(wrapper, folded(tokens(p)))
     assert Wrapper(wrapper).blocks(tokens(pages[2])) == ["c one", "c two"]
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><article><h1>A</h1><p>b</article>", ["A", "b"]),
+        ("<head><title>T</title><article><p>a</article>", ["a"]),
+        ("<head><title>T</title>a <b>b</b><p>c", ["a b", "c"]),
+        ("<article><p>a <svg width=1 /> b<p>c<svg><text>no</text></svg> d</article>", ["a b", "c d"]),
+        ("<article><p>a<svg><path d=x><p>b<svg><svg><text>no</text></svg></svg><p>c</article>", ["a", "b", "c"]),
+        ("<article><p>a <math/> b<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</article>", ["a b", "let x=1 be"]),
+        ("<article><p>a</p><object data=x><param name=y>instead</object><p>b</article>", ["a", "instead", "b"]),
+        ("<article><p>a</p><object data=x><p>b</p><iframe src=y><p>c</article>", ["a", "b", "c"]),
+        ("<article><p>a</p><select><option>no</select><noscript>no</noscript><template><p>no</template><iframe>no</iframe><script>no", ["a"]),
+    ],
+)
+def test_elements_that_end_early_or_never(page, blocks):
+    assert Wrapper(folded(tokens(page))).blocks(tokens(page)) == blocks
