@@ -286,3 +286,25 @@ def test_wrapper_without_article_drops_fixed_text():
 )
 def test_elements_that_end_early_or_never(page, blocks):
     assert Wrapper(folded(tokens(page))).blocks(tokens(page)) == blocks
+
+
+def wrapper_of(pages):
+    wrapper = folded(tokens(pages[0]))
+    for p in pages[1:]:
+        wrapper = merged(wrapper, folded(tokens(p)))
+    return Wrapper(wrapper)
+
+
+def test_template_texts_within_the_article():
+    """Notices inside of the article whose tags and classes say nothing; one of them only some pages have."""
+    page = "<article><h1>{0} head</h1><div class=x1><b>Get our letter</b></div><p>{0} one</p>{1}<div class=x3>All rights</div></article>"
+    pages = [page.format(w, "<section><h3>In short</h3>a <b>price</b> cut</section>" if i % 2 else "") for i, w in enumerate("abcdefghijkl")]
+    found = wrapper_of(pages)
+    assert found.blocks(tokens(pages[2])) == ["c head", "c one"] and found.blocks(tokens(pages[3])) == ["d head", "d one"]
+    other = tokens(page.format("z", "<section><h3>In long</h3>new</section>"))
+    assert found.blocks(other) == ["z head", "z one", "In long", "new"]
+
+
+def test_copies_are_no_template():
+    page = "<article><h1>Head</h1><p>one</p></article>"
+    assert wrapper_of([page] * 9).blocks(tokens(page)) == ["Head", "one"]
