@@ -2,11 +2,11 @@
 
 Inputs: a word is the sum of what it is and how it is spelt, the vector of the word itself if the training vocabulary has
 it, next to the mean vector of its hashed character trigrams. A text is read in windows of ``LENGTH`` words that start
-every ``STRIDE`` words, so that windows overlap and each word stands in the middle of some window. A forward and a backward
+every ``STRIDE`` words, half a window, so that every passage of up to ``LENGTH - STRIDE + 1`` words lies whole in some window. A forward and a backward
 network read a window; attention weighs their states; a logistic unit scores the sum. A text scores as its worst window.
 
-Training: a bounded sample of labelled rows, at most ``sample`` toxic and twice as many clean texts, those with the
-least hash of their id. First
+Training: a bounded sample of labelled rows, at most ``sample`` toxic and twice as many clean texts, of either kind those
+of all labels with the least hash of their id. First
 random windows are learnt with the label of their text; then, as a toxic text need not be toxic throughout, the window of
 each text that now scores highest, with a random one for clean texts. Scoring reads every window of every text; the gates' inputs
 are computed once for each distinct word of a batch.
@@ -31,12 +31,11 @@ from pyspark.sql import functions as F
 from logweave.llm.common import LETTER_WORDS, binary, slices
 from logweave.llm.rule_ensemble import held_out, training_labels
 
-LENGTH, STRIDE = 32, 24
+LENGTH, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 VOCABULARY, TRIGRAMS = 4096, 4096
 SAMPLE = 1000
 """Toxic texts to learn from at most; of clean ones twice as many."""
-LABELS = 30_000
 WARM, ROUNDS, BATCH, RATE = 5, 9, 256, 0.01
 LEAST_SEEN = 5
 DROPPED = 0.15
@@ -282,12 +281,11 @@ def fit(texts: list[bytes], y: np.ndarray, seed: int = SEED) -> Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Network:
-    from pyspark.sql import Window
-
-    known = training_labels(labels, label, LABELS, doc_id)  # bounded, so the window below is too
-    first = known.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("place") <= F.when(F.col("y") == 1, sample).otherwise(2 * sample))
+    kind = F.col(f"`{label}`").cast("int")
+    toxic, clean = (training_labels(labels.filter(kind == y), label, most, doc_id) for y, most in ((1, sample), (0, 2 * sample)))
+    first = toxic.unionByName(clean)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    found = rows.join(F.broadcast(first.select("doc_id", "y")), "doc_id").filter(F.col("text").isNotNull()).toPandas()
+    found = rows.join(F.broadcast(first), "doc_id").filter(F.col("text").isNotNull()).toPandas()
     found = found.sort_values(["doc_id", "y", "text"], kind="stable")
     return fit([t.encode() for t in found["text"]], found["y"].to_numpy())
 

@@ -345,6 +345,15 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.scored(empty, none).count() == 0
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Where toxic texts are rare, the sample has as many as there may be, not those of the first labels."""
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 50 == 7).cast("int").alias("mark"))
+    learnt = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: learnt.extend(y.tolist()))
+    toxicity.train(labels.select("doc_id", F.lit("some words").alias("text")), labels, "mark", sample=700)
+    assert (learnt.count(1), learnt.count(0)) == (700, 1400)
+
+
 def test_packing(spark, hard, rows, empty):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

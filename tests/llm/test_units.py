@@ -222,6 +222,13 @@ def test_windows_cover_and_overlap():
         assert (np.diff(own) == STRIDE).all() and STRIDE < LENGTH
 
 
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for n in range(1, 5 * LENGTH):
+        _, first = windows(np.array([n]))
+        most = min(n, LENGTH // 2)
+        assert all(((first <= w) & (w + most <= first + LENGTH)).any() for w in range(n - most + 1))
+
+
 def test_network_finds_marked_windows():
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
