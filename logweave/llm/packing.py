@@ -9,7 +9,8 @@ Windows are packed per task: pieces are dealt to tasks by a hash of document and
 length gathers in one task, and sorted there by falling length; a task closes its windows after ``block`` pieces, which
 bounds its memory. A task that runs again gets the same rows in the same order, so it returns the same windows.
 
-Cases: a null text counts as empty, and an empty text is the end id alone. A null document id is kept as it is. Repeated
+Cases: strings of the tokenizer's added tokens in a text are those tokens, as the tokenizer has it when loaded, unless
+``special_as_text`` asks for ordinary text. A null text counts as empty, and an empty text is the end id alone. A null document id is kept as it is. Repeated
 rows are packed once each. Ties are broken by document id, start and checksum. An empty table packs to no rows. Extra
 columns are ignored.
 """
@@ -47,15 +48,17 @@ class Encoder:
     """Ids of whole texts as unsigned 32-bit numbers.
 
     The tokenizer splits a text before each space that no white space precedes, or that a visible character follows, so
-    texts are cut at single spaces and each distinct chunk is encoded once. Texts with other white space go to it whole.
+    texts are cut at single spaces and each distinct chunk is encoded once. Texts with other white space, and those that hold
+    an added token, go to it whole.
     The ids of chunks met before are kept, sorted by a 64-bit hash of the chunk.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unsafe = re.compile(_UNSAFE)
         self._forget()
 
@@ -95,7 +98,7 @@ class Encoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and where each text's ids end."""
-        whole = [self.unsafe.search(t) is not None for t in texts]
+        whole = [self.unsafe.search(t) is not None or any(a in t for a in self.added) for t in texts]
         heads = [t if w else t.partition(" ")[0] for t, w in zip(texts, whole, strict=True)]
         cut = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
         ends = cut.offsets.to_numpy()
@@ -116,23 +119,24 @@ class Encoder:
         return out, upto[ends[1:] + np.arange(len(texts))]
 
 
-def kept_encoder(tokenizer_path: str) -> Encoder:
+def kept_encoder(tokenizer_path: str, special_as_text: bool = False) -> Encoder:
     """One encoder for the life of the Python worker, so that its chunks serve later tasks too."""
     kept = sys.modules.setdefault("llm_kept_encoders", types.ModuleType("llm_kept_encoders")).__dict__
-    if tokenizer_path not in kept:
-        kept[tokenizer_path] = Encoder(tokenizer_path)
-    return kept[tokenizer_path]
+    name = f"{tokenizer_path}:{special_as_text}"
+    if name not in kept:
+        kept[name] = Encoder(tokenizer_path, special_as_text)
+    return kept[name]
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID
+    docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, special_as_text: bool = False
 ) -> DataFrame:
     """Pieces of at most ``window`` tokens: doc_id, start, length, doc_tokens, ids (binary, little-endian 32 bits)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = kept_encoder(tokenizer_path)
+        encoder = kept_encoder(tokenizer_path, special_as_text)
         for whole in batches:
             for batch in slices(whole, "text", 6 << 20):
                 ids, ends = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end_id)
@@ -243,9 +247,9 @@ def pack(pieces: DataFrame, window: int = WINDOW, block: int = BLOCK, partitions
     return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def packed_digest(docs: DataFrame, tokenizer_path: str, partitions: int | None = None) -> DataFrame:
+def packed_digest(docs: DataFrame, tokenizer_path: str, partitions: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Where every piece of every document lies, with a checksum in place of its ids; the ids themselves do not move."""
-    pieces = token_pieces(docs, tokenizer_path)
+    pieces = token_pieces(docs, tokenizer_path, special_as_text=special_as_text)
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return pack(digest, partitions=partitions)
 

@@ -382,6 +382,22 @@ def test_packing(spark, hard, rows, empty):
     assert packing.packed_digest(empty, path).count() == 0
 
 
+def test_packing_of_special_tokens(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    texts = [end, f"one{end}two", f"one {end} two", f"one  {end}  two\n{end}", f"{end} one", f"one {end}", f"{end}{end} ", f"<|endof {end[:-1]} one {end}two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for as_text in (False, True):
+        plain = Tokenizer.from_file(path)
+        if as_text:
+            plain.encode_special_tokens = True
+        ids = [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        found = packing.packed_digest(docs, path, special_as_text=True) if as_text else packing.packed_digest(docs, path)
+        assert {r.doc_id: (r.ids_crc32, r.doc_tokens) for r in found.collect()} == {i: (packing.crc32_of(x), len(x)) for i, x in enumerate(ids)}
+
+
 def test_sha_of_no_items(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     r = decontaminate.contamination(docs, none).select(F.sha2(F.concat_ws(",", "items"), 256).alias("h")).first()
