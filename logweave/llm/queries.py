@@ -20,6 +20,20 @@ def _sql_words(text: str, parting: str) -> str:
 
 _SPACED, _LETTERED = r"[\x20\x09-\x0D]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+
+def _sql_print(words: str) -> str:
+    """The least 128 hashes of the runs of five words."""
+    runs = f"""CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < 5 THEN [array_to_string({words}, ' ')]
+        ELSE list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i + 4], ' ')) END"""
+    return f"list_sort(list_distinct(list_transform({runs}, lambda x: left(md5(x), 16))))[1:128]"
+
+
+def _sql_near(a: str, b: str) -> str:
+    union = f"list_sort(list_distinct(list_concat({a}, {b})))[1:128]"
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE CAST(len(list_intersect(list_intersect({a}, {b}), {union})) AS DOUBLE) / len({union}) END"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -193,3 +207,23 @@ def op5_page_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logweave.llm.page_wrapper import extract
 
     return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+OP13_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER w, first_value(text) OVER w, '') AS next FROM documents
+    WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, text, next, left(text, length(text) - length(text) // 2) || left(next, length(text) // 2) AS edited FROM t),
+s AS (SELECT *, {_sql_words("text", _LETTERED)} AS w, {_sql_words("edited", _LETTERED)} AS we, {_sql_words("next", _LETTERED)} AS wn FROM e),
+p AS (SELECT doc_id, length(text) AS n, edited, {_sql_print("w")} AS p, {_sql_print("we")} AS pe, {_sql_print("wn")} AS pn FROM s)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(p, '') AS fingerprint, array_to_string(pe, '') AS edited_fingerprint,
+  {_sql_near("p", "pe")} AS near_edited, {_sql_near("p", "pn")} AS near_next FROM p
+"""
+
+
+@query("op13_document_fingerprints", OP13_SQL)
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.fingerprints import edited_digest
+
+    return edited_digest(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
