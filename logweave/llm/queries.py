@@ -227,3 +227,42 @@ def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_digest(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+_CRC = """list_reduce(list_transform(range(1, length(hex(encode({0}))) + 1, 2), lambda i: CAST('0x' || substr(hex(encode({0})), i, 2) AS UBIGINT)),
+    lambda c, b: list_reduce(range(0, 8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS UBIGINT)) ELSE x >> 1 END, xor(c, b)),
+    CAST(4294967295 AS UBIGINT))"""
+"""CRC-32 of the UTF-8 bytes of a text, before its bits are turned around."""
+
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+seen AS (SELECT doc_id, w, count(*) AS n FROM runs GROUP BY doc_id, w),
+summed AS (SELECT w, n, xor({_CRC.format("(doc_id || ':' || w)")}, CAST(4294967295 AS UBIGINT)) AS h FROM seen),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS w, n FROM summed),
+v AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+gaps AS (SELECT w, n, unnest(list_transform(range(1, length(w) + 1), lambda i: left(w, i - 1) || '?' || substr(w, i + 1))) AS gap,
+    unnest(list_transform(range(1, length(w) + 1), lambda i: left(w, i - 1) || substr(w, i + 1))) AS without FROM v),
+pairs AS (SELECT a.w, b.w AS o, b.n AS o_n FROM gaps a JOIN gaps b USING (gap) WHERE a.w <> b.w
+    UNION SELECT a.w, b.w, b.n FROM gaps a JOIN v b ON a.without = b.w UNION SELECT b.w, a.w, a.n FROM gaps a JOIN v b ON a.without = b.w),
+near AS (SELECT w, count(*) AS n_near, arg_min(o, (-o_n, o)) AS best, max(o_n) AS best_n FROM pairs GROUP BY w),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN near USING (w)),
+walk(w, r) AS (SELECT w, w FROM f UNION SELECT walk.w, f.form FROM walk JOIN f ON walk.r = f.w WHERE f.form IS NOT NULL),
+last AS (SELECT walk.w, walk.r AS root FROM walk JOIN f ON walk.r = f.w WHERE f.form IS NULL)
+SELECT f.w AS word, f.form, root, f.n, f.n_near, f.form_n FROM f JOIN last ON f.w = last.w
+"""
+
+
+@query("op11_spelling_groups", OP11_SQL)
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logweave.llm.spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from logweave.llm.token_alignment import alignment_digest
+
+    return alignment_digest(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
