@@ -282,7 +282,7 @@ def view_header(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("view_firewall", f"SELECT event_id, {S} AS source_ip, {SP} AS source_port, concat('port-', {PORT}) AS destination_service, upper({L.PROTOCOL}) AS protocol, 'IPV4' AS network_type, upper({L.ACTION}) AS action, CASE WHEN event_id % 2 = 0 THEN 'INGRESS' ELSE 'OUT' END AS direction, {L.INTERFACE} AS interface, {L.HOST} AS hostname FROM events")
 def view_firewall(spark: SparkSession, sf: str) -> DataFrame:
-    chain = chain_of(*firewall.filterlog()) + Chain([stage("ports", *enrich.port_names(enrich.empty_dictionary(spark)))])
+    chain = chain_of(*firewall.filterlog()) + Chain([stage("ports", *enrich.port_names(None))])
     view = views.firewall_view(chain.apply(L.program_lines(spark, sf, "filterlog")), ("event_id",))
     return view.select("event_id", "source_ip", "source_port", "destination_service", "protocol", "network_type", "action", "direction", "interface", "hostname")
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave import paths
+from logweave.functions.spread import source_tag
 
 INLINE_LIMIT = 9
 CHAIN_LIMIT = 120
@@ -174,6 +175,18 @@ class EventFrame:
         self._slots: dict[tuple, int] = {}
         self._tag_edits: list[TagEdit] = []
         self._counter = 0
+        self._row_tag: Ref | None = None
+
+    def row_tag(self) -> Ref:
+        """A number per row, made once from a column of the source, that lookups spread rows without a key by.
+
+        It is all that a lookup reads besides its key, so what nobody selects is pruned behind lookups too.
+        """
+        if self._row_tag is None:
+            name = self.new_column()
+            self._round(0).columns[name] = source_tag(self.df)
+            self._row_tag = Ref(F.col(name), "bigint", 1, 1)
+        return self._row_tag
 
     def run(self, operator: Callable[[EventFrame], None]) -> None:
         """Apply an operator; under audit, single operators go through the recorder."""

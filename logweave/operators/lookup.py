@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logweave import paths
 from logweave.frame import EventFrame, Ref
 from logweave.functions.ip import in_networks, ip_hex, with_bounds
-from logweave.functions.spread import SPREAD, row_spread
+from logweave.functions.spread import SPREAD
 from logweave.functions.text import template
 from logweave.pipeline import Operator, named
 
@@ -25,8 +25,8 @@ class Lookup:
 
     Of several rows of one key the one with the greatest ``order`` is taken, without ``order`` the one with the least
     values. A table whose size is given and at most ``BROADCAST_BYTES`` is broadcast, else the plan's own statistics
-    decide. No size is measured by a job of its own. Rows without a key get stand-ins, so they spread over all tasks
-    instead of meeting in one; keys that hold many rows are split by adaptive execution.
+    decide. No size is measured by a job of its own. Rows without a key get stand-ins from the number of the row, so they spread over all
+    tasks instead of meeting in one; keys that hold many rows are split by adaptive execution.
     """
 
     def __init__(
@@ -49,12 +49,12 @@ class Lookup:
             best = F.max_by(row, F.struct(order, row)) if order else F.min(row)
             self.table = kept.groupBy(named.alias("key")).agg(best.alias("row"))
 
-    def join(self, df: DataFrame, key: Column, out: str) -> DataFrame:
-        """Add column ``out``: the matching table row as a struct, NULL without a match."""
+    def join(self, df: DataFrame, key: Column, tag: Column, out: str) -> DataFrame:
+        """Add column ``out``: the matching table row as a struct, NULL without a match; ``tag`` spreads rows without a key."""
         right = self.table.select(F.col("key").alias(f"{out}_k"), F.col("row").alias(out))
         if self.small:
             return df.join(F.broadcast(right), key == F.col(f"{out}_k"), "left").drop(f"{out}_k")
-        stand_in = F.concat(F.lit(NO_KEY), F.pmod(row_spread(df), F.lit(SPREAD)).cast("string"))
+        stand_in = F.concat(F.lit(NO_KEY), F.pmod(tag, F.lit(SPREAD)).cast("string"))
         left = df.withColumn(f"{out}_l", F.coalesce(key, stand_in))
         return left.join(right, F.col(f"{out}_l") == F.col(f"{out}_k"), "left").drop(f"{out}_k", f"{out}_l")
 
@@ -65,12 +65,12 @@ def _join(f: EventFrame, lookup: Lookup, key: Ref) -> Ref:
     if cond is not None:
         key = f.lift(lambda k, c: F.when(c, k), key, cond, dtype="string", cost=5)
     out = f.new_column()
-    after = f.add_step([key], lambda df, k: lookup.join(df, k, out))
+    after = f.add_step([key, f.row_tag()], lambda df, k, tag: lookup.join(df, k, tag, out))
     return Ref(F.col(out), "struct", after, 1, f.block)
 
 
-def translate(source: str, target: str, dictionary: Lookup, fallback: str | None = None) -> Operator:
-    """Exact dictionary lookup of a field's text.
+def translate(source: str, target: str, dictionary: Lookup | None, fallback: str | None = None) -> Operator:
+    """Exact dictionary lookup of a field's text; without a dictionary every text is a miss, and nothing is joined.
 
     A hit overwrites ``target``. A miss writes ``fallback``, in which references to missing fields
     stay as written, or changes nothing without one.
@@ -82,9 +82,12 @@ def translate(source: str, target: str, dictionary: Lookup, fallback: str | None
             return
         text = f.bind(text)
         there = f.lift(lambda c: c.isNotNull(), text, dtype="boolean")
-        row = _join(f, dictionary, text)
-        value_name = dictionary.values[0]
-        hit = f.lift(lambda r: r[value_name].cast("string"), row, dtype="string")
+        if dictionary is None:
+            hit = f.literal(None, "string")
+        else:
+            row = _join(f, dictionary, text)
+            value_name = dictionary.values[0]
+            hit = f.lift(lambda r: r[value_name].cast("string"), row, dtype="string")
         if fallback is None:
             made = hit
             there = f.lift(lambda c: c.isNotNull(), made, dtype="boolean")

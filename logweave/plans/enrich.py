@@ -94,7 +94,7 @@ def places(
     ]
 
 
-def rule_names(dictionary: Lookup) -> list[Operator]:
+def rule_names(dictionary: Lookup | None) -> list[Operator]:
     return [
         branch((
             has("firewall") & exists("[rule][uuid]"),
@@ -105,7 +105,7 @@ def rule_names(dictionary: Lookup) -> list[Operator]:
     ]
 
 
-def port_names(dictionary: Lookup) -> list[Operator]:
+def port_names(dictionary: Lookup | None) -> list[Operator]:
     return [
         branch((
             has("firewall"),
@@ -160,7 +160,7 @@ def urls(keep_password: bool = False) -> list[Operator]:
     return [branch((exists("[url][original]"), [url_parts(keep_password=keep_password)]))]
 
 
-def private_clients(hostnames: Lookup, home: dict[str, str] | None = None) -> list[Operator]:
+def private_clients(hostnames: Lookup | None, home: dict[str, str] | None = None) -> list[Operator]:
     """Host name of the client address, and the fields of ``home`` (path to value) for private ones."""
 
     def name(address: str) -> Operator:
@@ -195,9 +195,3 @@ def host_names(hosts: Lookup) -> list[Operator]:
         for side in ("source", "destination")
     ]
 
-
-def empty_dictionary(spark: SparkSession) -> Lookup:
-    """A dictionary without entries, for lookups whose table is not given."""
-    return Lookup(literal_table(spark, [], ["key", "value"]), size=0, unique=True)
-
-

@@ -13,7 +13,7 @@ from logweave.plans import apps, cleanup, dns_server, enrich, firewall, intrusio
 
 @dataclass
 class Tables:
-    """Lookup tables of the enrichment stages; what is not given is left out or empty."""
+    """Lookup tables of the enrichment stages; what is not given is left out."""
 
     rule_names: Lookup | None = None
     port_names: Lookup | None = None
@@ -52,14 +52,13 @@ def parse_chain(fix_egress: bool = False) -> Chain:
 
 def enrich_chain(spark: SparkSession, tables: Tables) -> Chain:
     """Lookups and derived fields."""
-    empty = enrich.empty_dictionary(spark)
     files = {
         "70-places": enrich.places(tables.city, tables.asn),
-        "75-rule-names": enrich.rule_names(tables.rule_names or empty),
-        "76-port-names": enrich.port_names(tables.port_names or empty),
+        "75-rule-names": enrich.rule_names(tables.rule_names),
+        "76-port-names": enrich.port_names(tables.port_names),
         "77-user-agents": enrich.user_agents(),
         "78-urls": enrich.urls(tables.keep_passwords),
-        "79-private-clients": enrich.private_clients(tables.private_hosts or empty, tables.home),
+        "79-private-clients": enrich.private_clients(tables.private_hosts, tables.home),
     }
     if tables.interfaces is not None:
         files["65-interfaces"] = enrich.interfaces(tables.interfaces, tables.loopback_hosts)
