@@ -138,22 +138,6 @@ def host_name_stage(spark: SparkSession, sf: str) -> DataFrame:
     return pick(run(df, *enrich.host_names(Lookup(hosts, "ip", ["host"]))), "event_id", "source.domain", "source.ip")
 
 
-@query("places_all", """
-    WITH e AS (SELECT event_id, user_id % 256 AS b FROM events)
-    SELECT event_id, n_name AS source, n_name AS destination, n_name AS client, n_name AS vpn, concat('AS', CAST(n_nationkey AS VARCHAR)) AS owner,
-      'pfelk,nginx,openvpn,GeoIP_Source,GeoIP_Destination,GeoIP_Client_OpenVPN' AS tags FROM e LEFT JOIN nation ON n_nationkey = b""")
-def places_all(spark: SparkSession, sf: str) -> DataFrame:
-    nation = table(spark, sf, "nation")
-    network = F.expr("concat('20.', n_nationkey, '.0.0/16')").alias("network")
-    city = geo_table(nation.select(network, F.col("n_name").alias("country_name")))
-    asn = NetworkTable(nation.select(network, F.expr("concat('AS', n_nationkey)").alias("as_name")))
-    address = F.expr("concat('20.', user_id % 256, '.0.9')")
-    tags = F.array(*(F.lit(t) for t in ("pfelk", "nginx", "openvpn"))).alias("tags")
-    df = table(spark, sf, "events").select("event_id", *(address.alias(n) for n in ("source.ip", "destination.ip", "client.ip", "openvpn.client.ip")), tags)
-    return pick(run(df, *enrich.places(city, asn)), "event_id", "tags", source="source.geo.country_name", destination="destination.geo.country_name",
-                client="client.geo.country_name", vpn="openvpn.client.geo.country_name", owner="source.geo.as_name")
-
-
 _KEA = f"[hwtype=1 ', {L.MAC}, '], cid=[01:02], tid=0x1f"
 _KEA_TEXT = f"""CASE event_id % 5 WHEN 0 THEN 'INFO [t.1] DHCP4_QUERY_LABEL received query' WHEN 1 THEN concat('REBOOT {_KEA}: moved to ', {L.SOURCE_IP})
     WHEN 2 THEN concat('ADVERT {_KEA}: lease ', {L.SOURCE_IP}) WHEN 3 THEN concat('ALLOC {_KEA}: lease ', {L.SOURCE_IP}, ' for x 3600') ELSE 'EXECUTE all' END"""

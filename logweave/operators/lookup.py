@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import cached_property
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from logweave.functions.spread import SPREAD
 from logweave.functions.text import template
 from logweave.pipeline import Operator, named
 
+if TYPE_CHECKING:
+    from logweave.operators.intervals import IntervalTable
+
 BROADCAST_BYTES = 64 << 20
 NO_KEY = "\ufdd1"
 """Begins the stand-in for a missing key; a noncharacter, with which no key of a table may begin."""
@@ -59,7 +63,7 @@ class Lookup:
         return left.join(right, F.col(f"{out}_l") == F.col(f"{out}_k"), "left").drop(f"{out}_k", f"{out}_l")
 
 
-def _join(f: EventFrame, lookup: Lookup, key: Ref) -> Ref:
+def join_row(f: EventFrame, lookup: Lookup, key: Ref) -> Ref:
     """Run a lookup for the rows of the current block; returns the matched struct."""
     cond = f.guard()
     if cond is not None:
@@ -85,7 +89,7 @@ def translate(source: str, target: str, dictionary: Lookup | None, fallback: str
         if dictionary is None:
             hit = f.literal(None, "string")
         else:
-            row = _join(f, dictionary, text)
+            row = join_row(f, dictionary, text)
             value_name = dictionary.values[0]
             hit = f.lift(lambda r: r[value_name].cast("string"), row, dtype="string")
         if fallback is None:
@@ -105,7 +109,7 @@ def translate(source: str, target: str, dictionary: Lookup | None, fallback: str
     return named("translate", run)
 
 
-def cidr(address: str, networks: Iterable[str] | NetworkTable, add_tag: str) -> Operator:
+def cidr(address: str, networks: Iterable[str] | NetworkTable | IntervalTable, add_tag: str) -> Operator:
     """Tag rows whose address lies in any of the networks: a literal list, or a table of them."""
 
     def run(f: EventFrame) -> None:
@@ -113,7 +117,7 @@ def cidr(address: str, networks: Iterable[str] | NetworkTable, add_tag: str) ->
         if text is None:
             return
         key = f.address_key(text, ip_hex)
-        if isinstance(networks, NetworkTable):
+        if hasattr(networks, "find"):
             row = networks.find(f, key)
             hit = f.lift(lambda r: r.isNotNull(), row, dtype="boolean")
         else:
@@ -163,11 +167,14 @@ class NetworkTable:
             F.col("tier") == 4, F.transform(span, lambda n: F.lpad(F.hex(n), 4, "0"))
         ).otherwise(F.array(first))
         item = F.struct((-F.col("prefix")).alias("rank"), "low", "high", *self.attributes)
-        filed = (
+        self.networks = (
             with_bounds(table.select(network, *[c for c in self.attributes if c != network]), network)
             .filter("prefix IS NOT NULL")
             .groupBy("low", "high").agg(F.min("prefix").alias("prefix"), _least(self.attributes))
             .select("low", "high", "prefix", *(F.col(f"least.{c}").alias(c) for c in self.attributes))
+        )
+        filed = (
+            self.networks
             .withColumn("tier", tier)
             .select("tier", F.length("low").alias("width"), F.explode(blocks).alias("block"), item.alias("item"))
         )
@@ -189,13 +196,11 @@ class NetworkTable:
         """The longest network holding an address key, as a struct; NULL without one."""
         found: list[Ref] = []
         for tier, lookup in self.tiers:
-            block = f.lift(lambda k, t=tier: _block(k, t), key, dtype="string", cost=4)
-            row = _join(f, lookup, block)
+            block = f.lift(lambda k, t=tier: block_of(k, t), key, dtype="string", cost=4)
+            row = join_row(f, lookup, block)
             found.append(
                 f.lift(
-                    lambda r, k: F.get(
-                        F.filter(r["nets"], lambda n: k.between(n["low"], n["high"])), 0
-                    ),
+                    lambda r, k: find_row(r["nets"], lambda n: k.between(n["low"], n["high"])),
                     row, key, dtype="struct", cost=20,
                 )
             )
@@ -206,11 +211,16 @@ class NetworkTable:
         return f.bind(f.lift(lambda *c: F.coalesce(*c), *found, dtype="struct"))
 
 
+def find_row(nets: Column, meets: Callable[[Column], Column]) -> Column:
+    """The first of a block's networks, longest prefix first, that meets a condition."""
+    return F.get(F.filter(nets, meets), 0)
+
+
 def _least(attributes: list[str]) -> Column:
     return F.min(F.struct(*attributes) if attributes else F.struct(F.lit(0))).alias("least")
 
 
-def _block(key: Column, tier: int) -> Column:
+def block_of(key: Column, tier: int) -> Column:
     named = F.concat(F.length(key).cast("string"), F.lit(":"), key.substr(1, tier))
     return named if tier <= 6 else F.when(F.length(key) == 32, named)
 
@@ -230,7 +240,7 @@ def geo_table(table: DataFrame, network: str = "network", **options) -> NetworkT
     return NetworkTable(table, network, kept, **options)
 
 
-def geoip(source: str, table: NetworkTable, target: str = "geoip") -> Operator:
+def geoip(source: str, table: NetworkTable | IntervalTable, target: str = "geoip") -> Operator:
     """Attributes of the longest network holding the address, each written where it has a value."""
 
     def run(f: EventFrame) -> None:
@@ -267,7 +277,7 @@ def dns(
             text = f.text(field)
             if text is None:
                 continue
-            row = _join(f, known, text)
+            row = join_row(f, known, text)
             name = known.values[0]
             made = f.lift(lambda r, n=name: r[n].cast("string"), row, dtype="string")
             there = f.lift(lambda c: c.isNotNull(), made, dtype="boolean")
@@ -310,7 +320,7 @@ def interface_alias(
         if host is None or name is None:
             return
         name = f.bind(name)
-        row = _join(f, hosts, host)
+        row = join_row(f, hosts, host)
 
         def pick(r: Column, n: Column) -> Column:
             hit = F.filter(

@@ -10,6 +10,7 @@ from logweave.functions.ip import PRIVATE_NETWORKS
 from logweave.operators import (
     cidr, dns, geoip, interface_alias, mutate, translate, url_parts, user_agent_length,
 )
+from logweave.operators.intervals import IntervalTable
 from logweave.operators.lookup import Lookup, NetworkTable
 from logweave.pipeline import Operator, branch
 from logweave.plans.fixed import PRODUCT
@@ -46,8 +47,8 @@ def interfaces(table: DataFrame, hosts: Iterable[str] = ()) -> list[Operator]:
     ]
 
 
-def _place(address: str, private_tag: str, done_tag: str, target: str, city, asn) -> Operator:
-    lookups = [geoip(address, t, target) for t in (city, asn) if t is not None]
+def _place(address: str, private_tag: str, done_tag: str, target: str, known: IntervalTable | None) -> Operator:
+    lookups = [] if known is None else [geoip(address, known, target)]
     return branch((
         exists(address),
         [
@@ -58,14 +59,20 @@ def _place(address: str, private_tag: str, done_tag: str, target: str, city, asn
 
 
 def places(
-    city: NetworkTable | None = None,
+    city: NetworkTable | IntervalTable | None = None,
     asn: NetworkTable | None = None,
     targets: dict[str, str] | None = None,
 ) -> list[Operator]:
     """Private-network test, then place and network owner of public addresses.
 
-    Source and destination get their own targets; pass ``targets`` to choose others.
+    Both tables become one list of intervals (or are given as one, in ``city``), so each address costs one join. Source
+    and destination get their own targets; pass ``targets`` to choose others.
     """
+    given = [t for t in (city, asn) if t is not None]
+    if len(given) == 1 and isinstance(given[0], IntervalTable):
+        known = given[0]
+    else:
+        known = IntervalTable(*given) if given else None
     to = {
         "source": "source.geo", "destination": "destination.geo", "client": "client.geo",
         "vpn": "openvpn.client.geo", **(targets or {}),
@@ -74,21 +81,21 @@ def places(
         branch((
             has(PRODUCT),
             [
-                _place("[source][ip]", "IP_Private_Source", "GeoIP_Source", to["source"], city, asn),
+                _place("[source][ip]", "IP_Private_Source", "GeoIP_Source", to["source"], known),
                 _place(
                     "[destination][ip]", "IP_Private_Destination", "GeoIP_Destination",
-                    to["destination"], city, asn,
+                    to["destination"], known,
                 ),
             ],
         )),
         branch((
             has("haproxy") | has("nginx"),
-            [_place("[client][ip]", "IP_Private_Proxy", "GeoIP_Source", to["client"], city, asn)],
+            [_place("[client][ip]", "IP_Private_Proxy", "GeoIP_Source", to["client"], known)],
         )),
         branch((
             has("openvpn"),
             [_place(
-                "[openvpn][client][ip]", "IP_Private_OpenVPN", "GeoIP_Client_OpenVPN", to["vpn"], city, asn
+                "[openvpn][client][ip]", "IP_Private_OpenVPN", "GeoIP_Client_OpenVPN", to["vpn"], known
             )],
         )),
     ]
