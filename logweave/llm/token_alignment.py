@@ -28,7 +28,7 @@ import sys
 import types
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,12 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import slices, written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 """Bytes of text in a block; a longer text is a block of its own."""
-KEPT_SEGMENTS = 120_000
+KEPT_SEGMENTS = 200_000
 """Segments that a Python worker keeps for its later batches; beyond that it starts anew, which only costs time."""
+RUN = 1000
+"""Segments that are encoded together."""
 SPACE_SIGN = "▁"
 _UNSAFE = re.compile(r"(?:\A|\s) | \Z")
 
@@ -55,11 +57,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def groups_of(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int]]:
+def groups_of(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int, int]]:
     """Where the groups of two token lists end: the byte, and the number of tokens of each list up to there."""
-    a_ends = {end: i for i, end in enumerate(accumulate(a_sizes), 1)}
-    b_ends = {end: j for j, end in enumerate(accumulate(b_sizes), 1)}
-    return [(end, a_ends[end], b_ends[end]) for end in sorted(a_ends.keys() & b_ends.keys())]
+    a_at, b_at = dict(zip(a_ends, count(1))), dict(zip(b_ends, count(1)))
+    return [(end, a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())]
 
 
 def segments(text: str) -> list[str]:
@@ -94,6 +95,7 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
+        self.names = [str(i) for i in range(max(*self.a_bytes, len(pieces)) + 1)]
         self.cuttable = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
         self._forget()
 
@@ -105,31 +107,46 @@ class Aligner:
         self.begin = np.empty(0, np.int64)
         self.pairs = np.empty(0, np.int64)
 
-    def tokens(self, segment: str, a: list[int], b: list[int]) -> list[tuple[int, int, int]] | None:
-        """The groups of a segment with a space before it; None where a list spells something else."""
-        whole = f" {segment}".encode()
+    def tokens(self, text: str) -> tuple[list[int], list[int], list[tuple[int, int, int]]] | None:
+        """Both lists of a text with a space before it, and their groups; None where a list spells something else."""
+        a, b, whole = self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.b.encode(text), f" {text}".encode()
         a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
             return None
-        return groups_of(a, b, [len(x) for x in a_parts], [len(x) for x in b_parts])
-
-    def encoded(self, parts: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        a = self.a.encode_batch_fast([f" {s}" for s in parts], add_special_tokens=False)
-        return zip(parts, (e.ids for e in a), self.b.encode(parts, num_threads=1), strict=True)
+        return a, b, groups_of(accumulate(map(len, a_parts)), accumulate(map(len, b_parts)))
 
     def _learn(self, parts: list[str]) -> None:
+        """Encode and align new segments, many in one run: a run's lists are those of its segments, one after the other."""
+        plain = [s for s in parts if self.cuttable and s and not s[-1].isspace() and SPACE_SIGN not in s]
+        alone = list(set(parts) - set(plain))
+        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)] + [[s] for s in alone]
         counts, begin, pairs = [], [], []
-        for segment, a, b in self.encoded(parts):
-            found = self.tokens(segment, a, b)
-            text, i, j = [], 0, 0
-            begin.append(len(self.pairs) + len(pairs))
-            for _, p, q in found or ():
-                text.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-                pairs.append(a[p - 1] << 32 | b[q - 1])
+        for run in runs:
+            text = " ".join(run)
+            found = self.tokens(text)
+            if found is None and len(run) > 1:
+                runs.extend([s] for s in run)
+                continue
+            a, b, groups = found or ([], [], [])
+            a_names, b_names = [self.names[x] for x in a], [self.names[x] for x in b]
+            texts, i, j = [], 0, 0
+            for _, p, q in groups:
+                if p - i == 1 == q - j:
+                    texts.append(f"{a_names[i]}|{b_names[j]}")
+                else:
+                    texts.append(f"{','.join(a_names[i:p])}|{','.join(b_names[j:q])}")
                 i, j = p, q
-            self.at[segment] = len(self.groups)
-            self.groups.append(";".join(text))
-            counts.append((len(a), len(b), len(text), found is not None))
+            ends = [0, *(end for end, *_ in groups)]
+            stops = np.searchsorted(ends, list(accumulate(len(s.encode()) + 1 for s in run))).tolist() if found else [0]
+            g, i, j = 0, 0, 0
+            for segment, h in zip(run, stops, strict=True):
+                p, q = groups[h - 1][1:] if found else (0, 0)
+                self.at[segment] = len(self.groups)
+                self.groups.append(";".join(texts[g:h]))
+                begin.append(len(self.pairs) + len(pairs) + g)
+                counts.append((p - i, q - j, h - g, found is not None))
+                g, i, j = h, p, q
+            pairs += [a[p - 1] << 32 | b[q - 1] for _, p, q in groups]
         self.counts = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 4)])
         self.begin = np.concatenate([self.begin, np.array(begin, np.int64)])
         self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
@@ -183,17 +200,14 @@ def token_groups(docs: DataFrame, byte_path: str, piece_path: str, doc_id: str =
         aligner = kept_aligner(byte_path, piece_path)
         for batch in batches:
             for key, value in zip(batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
-                parts = aligner.cut(value)
-                done = [(a, b, aligner.tokens(s, a, b)) for s, a, b in aligner.encoded(parts)] if parts else []
-                if any(found is None for *_, found in done):
+                found = aligner.tokens(value) if value else None
+                if found is None:
                     continue
-                out, start = [], 0
-                for a, b, found in done:
-                    here, i, j = start, 0, 0
-                    for end, p, q in found:
-                        out.append((here, start + end, a[i:p], b[j:q]))
-                        here, i, j = start + end, p, q
-                    start = here
+                a_ids, b_ids, groups = found
+                out, start, i, j = [], 0, 0, 0
+                for end, p, q in groups:
+                    out.append((start, end, a_ids[i:p], b_ids[j:q]))
+                    start, i, j = end, p, q
                 if out:
                     begin, stop, a, b = map(list, zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
