@@ -54,13 +54,18 @@ class Lookup:
             self.table = kept.groupBy(named.alias("key")).agg(best.alias("row"))
 
     def join(self, df: DataFrame, key: Column, tag: Column, out: str) -> DataFrame:
-        """Add column ``out``: the matching table row as a struct, NULL without a match; ``tag`` spreads rows without a key."""
+        """Add column ``out``: the matching table row as a struct, NULL without a match; ``tag`` spreads rows without a key.
+
+        Keys of the table are never NULL. They are compared with ``<=>``, for which the planner does not trace the key back
+        through all the expressions it came from, as it does for ``=`` in search of partitioned tables: behind a few lookups
+        on parsed fields that trace grows without end.
+        """
         right = self.table.select(F.col("key").alias(f"{out}_k"), F.col("row").alias(out))
         if self.small:
-            return df.join(F.broadcast(right), key == F.col(f"{out}_k"), "left").drop(f"{out}_k")
+            return df.join(F.broadcast(right), key.eqNullSafe(F.col(f"{out}_k")), "left").drop(f"{out}_k")
         stand_in = F.concat(F.lit(NO_KEY), F.pmod(tag, F.lit(SPREAD)).cast("string"))
         left = df.withColumn(f"{out}_l", F.coalesce(key, stand_in))
-        return left.join(right, F.col(f"{out}_l") == F.col(f"{out}_k"), "left").drop(f"{out}_k", f"{out}_l")
+        return left.join(right, F.col(f"{out}_l").eqNullSafe(F.col(f"{out}_k")), "left").drop(f"{out}_k", f"{out}_l")
 
 
 def join_row(f: EventFrame, lookup: Lookup, key: Ref) -> Ref:
