@@ -13,7 +13,7 @@ from logweave.operators import mutate
 from logweave.operators.lookup import Lookup, geo_table
 from logweave.pipeline import dispatch
 from logweave.plans import apps, audit, cleanup, dns_server, enrich, firewall, intrusion, unwrap, views
-from logweave.plans.full import Tables, full_chain, parse_chain
+from logweave.plans.full import parse_chain
 from logweave.plans.sample import sample_chain
 from logweave.sinks import route
 from logweave.sources import as_events, literal_table
@@ -433,11 +433,3 @@ def audit_row_diff(spark: SparkSession, sf: str) -> DataFrame:
     return diff.select("event_id", *[F.array_join(c, ",").alias(c) for c in ("added", "modified", "removed")])
 
 
-@query("full_chain", f"""
-    SELECT event_id, {_SETS} AS dataset, CASE WHEN event_id % 20 < 8 THEN concat('port-', {PORT}) END AS service,
-      CASE WHEN event_id % 20 < 8 THEN CASE WHEN event_id % 12 NOT IN (1, 2, 3) THEN concat('Rule ID: ', {L.RULE_UUID}) ELSE 'named' END END AS rule_named,
-      CASE WHEN event_id % 20 BETWEEN 8 AND 10 OR event_id % 20 IN (14, 16) THEN {S} END AS subdomain FROM events""")
-def full(spark: SparkSession, sf: str) -> DataFrame:
-    out = flatten(full_chain(spark, Tables(rule_names=rules(spark))).apply(L.mixed_lines(spark, sf)))
-    named = F.when(F.col("`rule.description`").startswith("Rule ID"), F.col("`rule.description`")).when(F.col("`rule.description`").isNotNull(), "named")
-    return out.select("event_id", F.col("`event.dataset`").alias("dataset"), F.col("`destination.service.name`").alias("service"), named.alias("rule_named"), F.col("`client.subdomain`").alias("subdomain"))
