@@ -13,7 +13,7 @@ fixed size. Only votes are shuffled, spread by document, template and diagonal.
 
 Cases: a null text counts as empty; a text without words has no sightings. Documents of one id are one document: their
 sightings are united, and each of the repeated rows is returned with them; a null id is an id of its own. Extra columns
-are kept by ``scan_sightings`` nowhere; ``scan_licenses`` returns only its own columns. An empty table gives no rows.
+are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ LEAST_SHARE = 0.6
 NEIGHBOURS = 3
 """Diagonals of one template that lie no further apart belong to one sighting."""
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTING = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases and labels that the scan must count.
@@ -75,7 +76,7 @@ def template_runs(spark: SparkSession, phrases=BASE_PHRASES, notices=NOTICES, k:
 
 def words_of(text: Column) -> Column:
     """Words of digits, letters and everything beyond ASCII, A-Z lower-cased."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _PARTING), "")
+    return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), _PARTING), "")
 
 
 def scan_sightings(docs: DataFrame, doc_id: str, words: str, phrases=BASE_PHRASES, notices=NOTICES, k: int = K, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -91,16 +92,16 @@ def scan_sightings(docs: DataFrame, doc_id: str, words: str, phrases=BASE_PHRASE
         .join(F.broadcast(runs), (F.col("hash") == F.col("t_hash")) & (F.col("seen") == F.col("t_words")))
     )
     diagonals = votes.groupBy("doc_id", "template", "label", "phrase", "runs", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
-        F.count_distinct("t_pos").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high")
+        F.collect_set("t_pos").alias("seen"), F.min("pos").alias("low"), F.max("pos").alias("high")
     )
-    exact = diagonals.filter("phrase AND votes = runs").select(
+    exact = diagonals.filter("phrase AND size(seen) = runs").select(
         "doc_id", "label", "phrase", F.col("low").alias("first_pos"), (F.col("high") + k - 1).alias("last_pos"), F.lit(1.0).alias("score")
     )
     return exact.unionByName(_merged(diagonals.filter("NOT phrase"), k, least_share))
 
 
 def _merged(diagonals: DataFrame, k: int, least_share: float) -> DataFrame:
-    """One sighting from the diagonals of a template that lie next to each other."""
+    """One sighting from the diagonals of a template that lie next to each other; each place of the template counts once in it."""
     from pyspark.sql import Window
 
     # Blocks bound what a window holds: diagonals of a template further apart than its length never merge.
@@ -108,8 +109,9 @@ def _merged(diagonals: DataFrame, k: int, least_share: float) -> DataFrame:
     grouped = diagonals.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > NEIGHBOURS).cast("int"), F.lit(1))).withColumn(
         "sighting", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))
     )
-    spans = grouped.groupBy("doc_id", "template", "label", "phrase", "runs", "sighting").agg(
-        F.least(F.sum("votes") / F.first("runs"), F.lit(1.0)).alias("score"), F.min("low").alias("first_pos"), (F.max("high") + k - 1).alias("last_pos")
+    places = grouped.withColumn("t_pos", F.explode("seen"))
+    spans = places.groupBy("doc_id", "template", "label", "phrase", "runs", "sighting").agg(
+        (F.count_distinct("t_pos") / F.first("runs")).alias("score"), F.min("low").alias("first_pos"), (F.max("high") + k - 1).alias("last_pos")
     )
     return spans.filter(F.col("score") >= least_share).select("doc_id", "label", "phrase", "first_pos", "last_pos", "score")
 

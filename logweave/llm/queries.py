@@ -94,12 +94,12 @@ WITH d AS (SELECT doc_id, {_sql_words("text", _LETTERED)} AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d WHERE len(w) > 1),
 t AS (SELECT template, label, phrase, string_split(t, ' ') AS w, len(w) - 1 AS runs FROM (VALUES {_TEMPLATES}) v(template, label, phrase, t)),
 tg AS (SELECT template, label, phrase, runs, unnest(range(0, runs)) AS t_pos, unnest(list_transform(range(1, runs + 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM t),
-v AS (SELECT doc_id, template, label, phrase, runs, pos - t_pos AS diagonal, count(DISTINCT t_pos) AS votes, min(pos) AS low, max(pos) AS high FROM g JOIN tg USING (g) GROUP BY ALL),
+v AS (SELECT doc_id, template, label, phrase, runs, pos - t_pos AS diagonal, list(DISTINCT t_pos) AS seen, min(pos) AS low, max(pos) AS high FROM g JOIN tg USING (g) GROUP BY ALL),
 m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEIGHBOURS} THEN 0 ELSE 1 END AS new FROM v WHERE NOT phrase),
 n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS sighting FROM m),
-found AS (SELECT doc_id, label, phrase, low AS first_pos, 1.0::DOUBLE AS score FROM v WHERE phrase AND votes = runs
+found AS (SELECT doc_id, label, phrase, low AS first_pos, 1.0::DOUBLE AS score FROM v WHERE phrase AND len(seen) = runs
     UNION ALL SELECT doc_id, label, phrase, first_pos, score FROM (SELECT doc_id, template, label, phrase, sighting, min(low) AS first_pos,
-        least(CAST(sum(votes) AS DOUBLE) / runs, 1.0) AS score FROM n GROUP BY doc_id, template, label, phrase, runs, sighting) WHERE score >= {LEAST_SHARE}),
+        CAST(count(DISTINCT t_pos) AS DOUBLE) / runs AS score FROM (SELECT *, unnest(seen) AS t_pos FROM n) GROUP BY doc_id, template, label, phrase, runs, sighting) WHERE score >= {LEAST_SHARE}),
 per_doc AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(first_pos) FILTER (phrase) AS first_word, max(first_pos) FILTER (phrase) AS last_word,
     coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
     FROM found GROUP BY doc_id)

@@ -118,3 +118,42 @@ def test_estimates(spark):
 def test_no_python_in_the_plan(spark, docs):
     plan = fp.edited_digest(frame(spark, docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_license_places_count_once(spark):
+    """A template's place that stands on several merged diagonals is one place; only A-Z are lower-cased."""
+    from logweave.llm import license_scan
+
+    notice = dict(license_scan.NOTICES)["cc-by-nc"].split()
+    rng = random.Random(4)
+    texts = ["licensed under cc licensed under cc", "licensed under cc", " ".join(notice), " ".join(notice[:3] + ["x"] + notice[3:]), "Kind MIT License", "mit licenſe"]
+    texts += [" ".join(rng.choice([*notice, "x"]) for _ in range(rng.randrange(5, 40))) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+
+    def plain(text: str) -> dict[str, float]:
+        """Best share of each notice: its word pairs by diagonal, neighbouring diagonals together, each place once."""
+        words = text.translate(UPPER).split()
+        out: dict[str, float] = {}
+        for label, template in license_scan.NOTICES:
+            t = template.split()
+            seen: dict[int, set[int]] = {}
+            for p in range(len(words) - 1):
+                for q in range(len(t) - 1):
+                    if words[p : p + 2] == t[q : q + 2]:
+                        seen.setdefault(p - q, set()).add(q)
+            group, last = set(), None
+            for d in sorted(seen):
+                group = seen[d] | (group if last is not None and d - last <= license_scan.NEIGHBOURS else set())
+                last = d
+                share = len(group) / (len(t) - 1)
+                if share >= license_scan.LEAST_SHARE:
+                    out[label] = max(out.get(label, 0.0), share)
+        return out
+
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, words string, label int")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert got[0].labels == "" and got[0].score == 0.0 and got[2].labels == "cc-by-nc" and got[2].score == 1.0
+    assert (got[4].n_base, got[5].n_base, got[4].n_words) == (1, 0, 3)
+    for i, text in rows[6:]:
+        found = plain(text)
+        assert got[i].labels == ",".join(sorted(found)) and got[i].score == pytest.approx(max(found.values(), default=0.0))
