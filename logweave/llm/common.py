@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from logweave.functions.shared import new_folder, removed, shared_table
+
 SLICE_BYTES = 16 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,20 +43,16 @@ def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share; on a cluster, a session without one is an error."""
+    return new_folder(spark, "llm")
+
 
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` from a table in the shared folder: cuts the lineage, survives lost executors.
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` from a table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    The table stays for those who read it; ``removed`` takes away one whose ``path`` is known and that nobody reads any more.
+    """
+    return shared_table(df, path or shared_dir(df.sparkSession))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -64,7 +61,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold about ``most`` bytes of ``column`` each (one row at least)."""
-    sizes = np.fromiter((len(x) if x is not None else 0 for x in binary(batch.column(column))), np.int64, batch.num_rows)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
     part = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import written
+from logweave.llm.common import removed, shared_dir, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,10 +32,13 @@ def _print_of(links: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to (node, component), the least node that can be reached; nodes without links are not listed."""
-    now = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = links.sparkSession
+    path = shared_dir(spark)
+    now = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     before = None
     while (print_ := _print_of(now)) != before and print_[0]:
-        before = print_
-        now = written(_small_star(_large_star(now)))
+        before, old, path = print_, path, shared_dir(spark)
+        now = written(_small_star(_large_star(now)), path)
+        removed(spark, old)
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(tops)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import slices, written
+from logweave.llm.common import removed, shared_dir, slices, written
 
 LEAST_LETTERS = 5
 LEAST_COUNT = 3
@@ -145,14 +145,18 @@ def near_words(words: DataFrame) -> DataFrame:
 
 def roots(forms: DataFrame) -> DataFrame:
     """From words and their forms (word, form; a form has rows of its own) to the last form of each: word, root."""
-    now = written(forms.select("word", F.coalesce("form", "word").alias("root")))
+    spark = forms.sparkSession
+    path = shared_dir(spark)
+    now = written(forms.select("word", F.coalesce("form", "word").alias("root")), path)
     while True:
         onward = now.filter("root <> word").select(F.col("word").alias("at"), F.col("root").alias("next"))
         moved = now.join(onward, now["root"] == onward["at"], "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("went"))
-        after = written(moved)
-        if after.filter("went").isEmpty():
-            return after.select("word", "root")
+        old, path = path, shared_dir(spark)
+        after = written(moved, path)
+        removed(spark, old)
         now = after.select("word", "root")
+        if after.filter("went").isEmpty():
+            return now
 
 
 def spelling_groups(
