@@ -40,7 +40,9 @@ WORDS = 5
 SIMILARITY = 80
 """Per cent of the union that the intersection must have."""
 UNIT_SHINGLES = 3_000_000
-SLICE = 8 << 20
+SLICE = 2 << 20
+HOT_SETS = 1000
+"""Sets of which at least one in so many documents is a copy are not dealt by their set; there are no more of them than that."""
 MERGE_BY_HEAP = 64
 MU = 0.0085
 """DivideSkip's constant: how many long lists to set aside for a threshold and a longest list."""
@@ -252,12 +254,12 @@ def _units(sets: DataFrame, most: int) -> DataFrame:
     hubs = rare.groupBy(F.col("shingle").alias("s")).agg(F.min("no").alias("hub"))
     near = rare.join(hubs, rare["shingle"] == hubs["s"]).filter("no != hub").select(F.col("no").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(near)
-    grouped = sets.join(groups, sets["no"] == groups["node"]).select("no", "n", "shingles", "component")
     sizes = sets.select("no", "n").join(groups, F.col("no") == F.col("node")).groupBy(F.col("component").alias("c")).agg(F.ceil(F.sum("n") / most).alias("blocks"))
+    placed = groups.join(sizes, groups["component"] == sizes["c"]).select("node", "component", "blocks")  # numbers only; the sets meet their units by their own
     block = F.pmod(F.xxhash64("no"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     return (
-        grouped.join(sizes, grouped["component"] == sizes["c"]).withColumn("block", block)
+        sets.join(placed, sets["no"] == placed["node"]).withColumn("block", block)
         .select("component", "no", "n", "shingles", "block", F.explode(pairs).alias("unit"))
         .select("component", "unit.i", "unit.j", "no", "n", "shingles", "block")
     )
@@ -297,7 +299,7 @@ def unit_links(no: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> lis
     after, end = place + 1, list_end[token]
     begin = np.cumsum(n) - n
     across = len(np.unique(block)) > 1
-    component, out = np.arange(len(n)), []
+    component, members, out = np.arange(len(n)), {}, []
     for a in range(len(n) - 1):
         least = int(_least_overlap(n[a], n[a]))  # of a set that is as large or larger
         own = slice(begin[a], begin[a] + n[a])
@@ -328,7 +330,12 @@ def unit_links(no: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> lis
         for b in found[times >= need].tolist():
             if component[b] != component[a]:
                 out.append((int(no[a]), int(no[b])))
-                component[component == component[b]] = component[a]
+                large, small = int(component[a]), int(component[b])
+                if len(members.get(small, ())) > len(members.get(large, ())):
+                    large, small = small, large
+                moved = members.pop(small, [small])
+                component[moved] = large
+                members.setdefault(large, [large]).extend(moved)
     return out
 
 
@@ -345,7 +352,7 @@ def near_duplicates(
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     marks = written(signatures(rows, kind, words, buckets))
-    classes = marks.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"))
+    classes = marks.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.count("*").alias("copies"))
     classes = written(classes)
     maybe = classes.filter(F.col("shared") * 100 >= SIMILARITY * F.col("n")).select(F.col("rep").alias("maybe")).distinct()
     # by shuffle at every size: the list of survivors grows with the table
@@ -356,9 +363,27 @@ def near_duplicates(
     named = sets.select("no", "key").join(found, F.col("no") == F.col("node")).join(classes.select(F.col("key").alias("k"), "rep"), F.col("key") == F.col("k"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select(F.col("key").alias("k"), "component_id").distinct()
-    of_class = classes.select(F.col("key").alias("c"), "rep").join(labels, F.col("c") == F.col("k"), "left").select("c", F.coalesce("component_id", "rep").alias("found"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return marks.join(of_class, marks["key"] == of_class["c"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("key").alias("set_key"))
+    of_class = classes.select(F.col("key").alias("c"), "rep", "copies").join(labels, F.col("c") == F.col("k"), "left")
+    of_class = of_class.select("c", "copies", F.coalesce("component_id", "rep").alias("found"))
+    return _named(marks, of_class).select("doc_id", F.col("n").alias("n_shingles"), F.col("own").alias("component_id"), F.col("key").alias("set_key"))
+
+
+def _named(marks: DataFrame, of_class: DataFrame) -> DataFrame:
+    """``marks`` with the class's smallest document in ``own``; ``of_class`` has a row (c, copies, found) for each set.
+
+    Sets that more than a thousandth of all documents have, a thousand at most, are broadcast; those documents, and the
+    ones without a set, stay where they are. Only the others are dealt by their set.
+    """
+    total = of_class.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(of_class.filter(F.col("copies") * HOT_SETS > total).select("c", "found"))
+    held = marks.filter("key IS NOT NULL")
+    of_hot = held.join(hot, held["key"] == hot["c"])
+    others = held.join(hot, held["key"] == hot["c"], "left_anti")
+    of_others = others.join(of_class.select("c", "found"), others["key"] == F.col("c"), "left")
+    empty = marks.filter("key IS NULL").withColumn("found", F.lit(None).cast(marks.schema["doc_id"].dataType))
+    columns = ["doc_id", "n", "key", "found"]
+    joined = of_hot.select(columns).union(of_others.select(columns)).union(empty.select(columns))
+    return joined.withColumn("own", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
