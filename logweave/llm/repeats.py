@@ -41,7 +41,7 @@ from logweave.llm.common import binary, mixed, shuffle_partitions, slices, writt
 
 SPAN = 50
 K = 24
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BYTE = np.random.default_rng(50).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -87,24 +87,26 @@ def pieces(texts: list[bytes], digests: bool = True) -> tuple[np.ndarray, np.nda
     """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size) - size
+    kind = np.int32 if size.sum() < 1 << 31 else np.int64
     joined = b"".join(texts) + bytes(2 * SPAN)
     anchor = _hashes(np.frombuffer(joined, np.uint8))
     windows = np.maximum(size - SPAN + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), windows)
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[doc]
+    doc = np.repeat(np.arange(len(texts), dtype=kind), windows)
+    at = np.arange(len(doc), dtype=kind) + np.repeat((begin - np.cumsum(windows) + windows).astype(kind), windows)
     place = at + _first_least(anchor, SPAN - K + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at))[: len(first)] - 1
-    f, l, p = at[first], at[last], place[first]
+    f, l, p = at[first].astype(np.int64), at[last].astype(np.int64), place[first].astype(np.int64)
     digest = xxhash.xxh3_128_digest
     raw = b"".join([digest(joined[s:e]) for s, e in zip(f.tolist(), (l + SPAN).tolist(), strict=True)]) if digests else b""
     return doc[first], f - begin[doc[first]], l - begin[doc[first]], p - f, anchor[p], np.frombuffer(raw, "<u4").reshape(-1, 4)
 
 
 def _bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """The bucket of an anchor. Anchors are least hashes, so small ones are the rule: mixed again, they spread evenly."""
+    return ((mixed(anchor) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 _GONE, _ASK = 1, 2
