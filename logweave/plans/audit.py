@@ -21,19 +21,48 @@ def map_diff(before: Column, after: Column) -> Column:
     )
 
 
-def row_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+def leaves(value: Column, path: str | Column, depth: int) -> Column:
+    """The leaves of a variant as entries of path and JSON text; objects more than ``depth`` levels down count as leaves.
+
+    Members of an array are no paths of their own: arrays are compared whole.
+    """
+    path = F.lit(path) if isinstance(path, str) else path
+    whole = F.array(F.struct(path.alias("key"), F.to_json(value).alias("value")))
+    if depth == 0:
+        return whole
+    members = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    below = F.flatten(F.transform(members, lambda e: leaves(e["value"], F.concat(path, F.lit("."), e["key"]), depth - 1)))
+    return F.when(F.size(members) > 0, below).otherwise(whole)
+
+
+def nested_diff(before: Column, after: Column, name: str, depth: int = 4) -> Column:
+    """Paths added, modified and removed between two variants, below ``name``; a missing value has no paths."""
+
+    def flat(value: Column) -> Column:
+        none = F.create_map().cast("map<string,string>")
+        return F.when(value.isNotNull(), F.map_from_entries(leaves(value, name, depth))).otherwise(none)
+
+    return map_diff(flat(before), flat(after))
+
+
+def row_diff(before: DataFrame, after: DataFrame, keys: list[str], depth: int = 0) -> DataFrame:
     """Per key: the fields added, modified and removed between two versions of a table.
 
-    The versions are joined on their unique ``keys``; a row missing on one side has no fields there.
+    The versions are joined on their unique ``keys``; a row missing on one side has no fields there. With ``depth`` fields
+    that are variants or maps are compared leaf by leaf, that many levels down.
     """
 
     def packed(df: DataFrame, name: str) -> DataFrame:
         flat = flatten(df)
-        body = [c for c in flat.columns if c not in keys]
+        kinds = dict(flat.dtypes)
+        nested = [c for c in flat.columns if depth and c not in keys and kinds[c].startswith(("variant", "map<"))]
+        body = [c for c in flat.columns if c not in keys and c not in nested]
         pairs = [x for c in body for x in (F.lit(c), _text(flat, c))]
-        return flat.select(
-            *keys, F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias(name)
-        )
+        parts = [F.create_map(*pairs).cast("map<string,string>")]
+        for c in nested:
+            value = F.col(quoted(c)) if kinds[c] == "variant" else F.parse_json(F.to_json(quoted(c)))
+            parts.append(F.when(value.isNotNull(), F.map_from_entries(leaves(value, c, depth))).otherwise(F.create_map().cast("map<string,string>")))
+        return flat.select(*keys, F.map_filter(F.map_concat(*parts), lambda k, v: v.isNotNull()).alias(name))
 
     empty = F.create_map().cast("map<string,string>")
     both = packed(before, "old").join(packed(after, "new"), keys, "full")

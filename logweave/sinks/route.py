@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +12,7 @@ from logweave.paths import quoted
 from logweave.plans.fixed import FALLBACK_DATASET, FALLBACK_NAMESPACE, STREAM_TYPE
 
 ROUTE = ("stream_type", "stream_dataset", "stream_namespace")
+BATCH = "batch"
 
 
 def route(df: DataFrame) -> DataFrame:
@@ -70,6 +71,21 @@ def write_routed(
     return None
 
 
+def write_batch(df: DataFrame, path: str, batch_id: int, fmt: str = "parquet", files_per_route: int | None = None) -> None:
+    """Write one batch under ``batch`` / type / dataset / namespace folders, for ``foreachBatch`` or a dated batch job.
+
+    What an earlier try of the same batch has left is replaced, whatever routes it wrote, so a batch that is delivered
+    again is there once.
+    """
+    write_routed(df, f"{path.rstrip('/')}/{BATCH}={batch_id}", fmt, mode="overwrite", files_per_route=files_per_route)
+
+
+def read_routed(spark: SparkSession, path: str, fmt: str = "parquet", dataset: str | None = None) -> DataFrame:
+    """What ``write_routed`` or ``write_batch`` wrote, with the route (and batch) from the folders; ``dataset`` reads that folder alone."""
+    found = spark.read.option("mergeSchema", True).format(fmt).load(path)
+    return found if dataset is None else found.filter(F.col("stream_dataset") == dataset)
+
+
 def export_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Records as JSON lines, empty fields left out."""
     to_nested(flatten(df)).write.mode(mode).json(path)

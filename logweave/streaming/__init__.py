@@ -1,5 +1,9 @@
-"""The same chains over Structured Streaming."""
+"""Chains on streams."""
 
-from logweave.streaming.run import RefreshingTable, checkpoint_location, stream_chain
+from logweave.streaming.run import (
+    RefreshingTable, VersionedTable, checkpoint_location, latest_totals, stream_chain, stream_totals, stream_versions,
+)
 
-__all__ = ["RefreshingTable", "checkpoint_location", "stream_chain"]
+__all__ = [
+    "RefreshingTable", "VersionedTable", "checkpoint_location", "latest_totals", "stream_chain", "stream_totals", "stream_versions",
+]
