@@ -157,3 +157,24 @@ def test_license_places_count_once(spark):
     for i, text in rows[6:]:
         found = plain(text)
         assert got[i].labels == ",".join(sorted(found)) and got[i].score == pytest.approx(max(found.values(), default=0.0))
+
+
+def test_names_of_elements_do_not_lose_articles(spark):
+    """Class words drop an element only as a whole name, never the page, the article, a paragraph or most of the text."""
+    from logweave.llm import page_wrapper
+
+    body = "".join(f"<p>Paragraph {{n}} {c} of the story, with words of its own.</p>" for c in "abc")
+    shapes = {
+        "body": f'<body class="single no-sidebar"><div>{body}</div></body>', "article": f'<body><article class="post social">{body}</article></body>',
+        "id": f'<body><article id="ad-astra">{body}</article></body>', "p": f'<body><article><p class="notice">Told {{n}}.</p>{body}</article></body>',
+        "div": f'<body><article><div class="share-price">Price {{n}}.</div>{body}</article></body>', "section": f'<body><article><section class="related-work">Work {{n}}.</section>{body}</article></body>',
+        "most": f'<body><div class="comments">{body}</div><div class="sidebar">x</div></body>',
+        "gone": f'<body><div class="site-footer">Foot {{n}}</div><div id="cookie-banner2">Cookies {{n}}</div><ul class="share-links"><li>Share {{n}}</li></ul><aside>Aside {{n}}</aside>{body}</body>',
+    }
+    rows = [(f"{k}{n}", f"http://{k}.example/{n}", f"<html><head><title>t</title></head>{v.format(n=n)}</html>") for k, v in shapes.items() for n in range(8)]
+    got = {r.page_id: r.text for r in page_wrapper.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    lead = {"p": "Told {n}.", "div": "Price {n}.", "section": "Work {n}."}
+    for k in shapes:
+        for n in range(8):
+            blocks = ([lead[k].format(n=n)] if k in lead else []) + [f"Paragraph {n} {c} of the story, with words of its own." for c in "abc"]
+            assert got[f"{k}{n}"] == "\n\n".join(blocks), k
