@@ -23,12 +23,17 @@ from logweave.sources import (
 )
 
 
-def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
-    """Columns by path; tags and other arrays joined by commas; extra names as keywords."""
+def pick(df: DataFrame, *names: str, absent: tuple[str, ...] = (), **renamed: str) -> DataFrame:
+    """Columns by path; tags and other arrays joined by commas; extra names as keywords.
+
+    A column that is not there is an error, unless ``absent`` names it: that one must not be there, and reads as NULL.
+    """
     types = dict(df.dtypes)
 
     def column(path: str):
-        if path not in types:
+        if (path in types) == (path in absent):
+            raise KeyError(f"column {path} is {'there' if path in types else 'not there'}")
+        if path in absent:
             return F.lit(None).cast("string")
         c = F.col(quoted(path))
         return F.array_join(c, ",") if types[path].startswith("array<") else c
@@ -383,7 +388,7 @@ def mutate_fields(spark: SparkSession, sf: str) -> DataFrame:
         update={"updated": "updated", "absent": "x"}, rename={"p_name": "renamed"}, remove_field="p_type",
         copy={"p_brand": "copied"},
     ))
-    return pick(out, "p_partkey", "added", "created", "updated", "renamed", "p_brand", "copied", "p_name", "p_type")
+    return pick(out, "p_partkey", "added", "created", "updated", "renamed", "p_brand", "copied", "p_name", "p_type", absent=("p_name", "p_type"))
 
 
 @query("mutate_text", """
