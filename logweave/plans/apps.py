@@ -127,8 +127,15 @@ def squid(json_fields: Mapping[str, str] | None = None) -> list[Case]:
     ]
 
 
+# Forms of sshd lines, each written out whole.
+SSHD_FAILURE = r"(?:error: )?PAM: (?<[event][reason]>.*?) for (?<[user][name]>[\w\-\.]+) from (?<[source][ip]>[\d\.]+)"
+SSHD_OTHER = r"(?<[log][level]>\w+):\s*(?<[event][reason]>.*)"
+SSHD_SUCCESS = (
+    r"(?<[event][auth_method]>publickey|password|gssapi-with-mic|keyboard-interactive) for (?<[user][name]>[\w\-\.]+) from (?<[source][ip]>[\d\.]+)"
+)
+
+
 def sshd() -> list[Case]:
-    words = r"(?<[user][name]>[\w\-\.]+) from (?<[source][ip]>[\d\.]+)"
     return [
         _service(
             "sshd", "sshd", "sshd", "sshd",
@@ -136,10 +143,10 @@ def sshd() -> list[Case]:
                 (
                     matches(TEXT, "authentication failure|Authentication failure|failed|error"),
                     [
-                        grok(TEXT, r"(?:error: )?PAM: (?<[event][reason]>.*?) for " + words),
+                        grok(TEXT, SSHD_FAILURE),
                         branch((
                             missing("[event][reason]"),
-                            [grok(TEXT, r"(?<[log][level]>\w+):\s*(?<[event][reason]>.*)")],
+                            [grok(TEXT, SSHD_OTHER)],
                         )),
                         mutate(replace={
                             "[event][outcome]": "failure",
@@ -150,11 +157,7 @@ def sshd() -> list[Case]:
                 (
                     matches(TEXT, "[Aa]ccept|success"),
                     [
-                        grok(
-                            TEXT,
-                            "(?<[event][auth_method]>publickey|password|gssapi-with-mic"
-                            "|keyboard-interactive) for " + words,
-                        ),
+                        grok(TEXT, SSHD_SUCCESS),
                         mutate(replace={
                             "[event][outcome]": "success",
                             "[event][action]": "authentication_success",

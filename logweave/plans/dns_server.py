@@ -5,20 +5,27 @@ from __future__ import annotations
 from logweave.operators import grok, mutate
 from logweave.pipeline import Operator, branch
 from logweave.plans.fixed import PRODUCT, routed
-from logweave.plans.unwrap import inner_header
+from logweave.plans.unwrap import INNER_HEADERS
 from logweave.predicates import Condition, eq, exists, has, matches, missing
 
 TEXT = "filter_message"
 
-# Line formats and failure tags.
-_HEAD = r"\[%{INT:[process][pgid]}:%{INT:[process][thread][id]}\] %{LOGLEVEL:[log][level]}: "
-_QUESTION = (
-    "%{NOTSPACE:[dns][question][name]} %{WORD:[dns][question][type]} %{WORD:[dns][question][class]}"
+# Line formats and failure tags, each written out whole.
+INNER_SYSLOG = r"<%{INT}>%{INT}\s+%{TIMESTAMP_ISO8601}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+%{GREEDYDATA:filter_message}"
+PAYLOAD = r".*(\[%{INT:[process][pgid]}:%{INT:[process][thread][id]}\]\s+%{LOGLEVEL:[log][level]}:\s+%{GREEDYDATA:unbound_payload})"
+REBUILT = "[%{[process][pgid]}:%{[process][thread][id]}] %{[log][level]}: %{unbound_payload}"
+QUERY = (
+    r"\[%{INT:[process][pgid]}:%{INT:[process][thread][id]}\] %{LOGLEVEL:[log][level]}: %{IP:[client][ip]} %{NOTSPACE:[dns][question][name]} %{WORD:[dns][question][type]}"
+    r" %{WORD:[dns][question][class]}( %{WORD:[dns][return_code]} %{NUMBER:[dns][timing]} %{INT:[dns][from_cache]} %{INT:[dns][response_size]})?"
 )
-_ANSWER = (
-    "( %{WORD:[dns][return_code]} %{NUMBER:[dns][timing]} %{INT:[dns][from_cache]}"
-    " %{INT:[dns][response_size]})?"
+RESOLVING = (
+    r"\[%{INT:[process][pgid]}:%{INT:[process][thread][id]}\] %{LOGLEVEL:[log][level]}: resolving"
+    r" %{NOTSPACE:[dns][question][name]} %{WORD:[dns][question][type]} %{WORD:[dns][question][class]}"
 )
+STATUS = r"\[%{INT:[process][pgid]}:%{INT:[process][thread][id]}\] %{LOGLEVEL:[log][level]}: query response was %{WORD:[dns][response_status]} %{WORD:[dns][response_type]}"
+REGISTERED = r"(\.)?(?<[dns][question][registered_domain]>[^.]+\.[^.]+)\.?$"
+TOP_LEVEL = r"(\.)?(?<[dns][question][top_level_domain]>[^.]+)\.?$"
+_HEAD = r"\[%{INT:[process][pgid]}:%{INT:[process][thread][id]}\] %{LOGLEVEL:[log][level]}: "
 _FAIL = "grok_fail_35_unbound_"
 
 
@@ -30,11 +37,11 @@ def registered_domain() -> list[Operator]:
     name = "[dns][question][name]"
     return [
         grok(
-            name, r"(\.)?(?<[dns][question][registered_domain]>[^.]+\.[^.]+)\.?$",
+            name, REGISTERED,
             tag_on_failure=[_FAIL + "registered_domain_first", _FAIL + "registered_domain_second"],
         ),
         grok(
-            name, r"(\.)?(?<[dns][question][top_level_domain]>[^.]+)\.?$", tag_on_failure=_FAIL + "tld"
+            name, TOP_LEVEL, tag_on_failure=_FAIL + "tld"
         ),
         mutate(remove_tag="unbound-registered_domain"),
     ]
@@ -46,29 +53,17 @@ def canonical() -> list[Operator]:
         branch((missing(TEXT) & exists("message"), [mutate(copy={"message": TEXT})])),
         branch((
             matches(TEXT, r"^<\d+>\d+\s+"),
-            [grok(
-                TEXT,
-                r"<%{INT}>%{INT}\s+%{TIMESTAMP_ISO8601}" + r"\s+%{NOTSPACE}" * 5
-                + r"\s+%{GREEDYDATA:filter_message}",
-                tag_on_failure=_FAIL + "strip_inner_rfc5424",
-            )],
+            [grok(TEXT, INNER_SYSLOG, tag_on_failure=_FAIL + "strip_inner_rfc5424")],
         )),
         branch((
             matches(TEXT, r"^\d{4}-\d{2}-\d{2}T"),
-            [grok(TEXT, inner_header(TEXT), tag_on_failure=_FAIL + "strip_inner_timestamp")],
+            [grok(TEXT, INNER_HEADERS[TEXT], tag_on_failure=_FAIL + "strip_inner_timestamp")],
         )),
-        grok(
-            TEXT,
-            r".*(\[%{INT:[process][pgid]}:%{INT:[process][thread][id]}\]\s+"
-            r"%{LOGLEVEL:[log][level]}:\s+%{GREEDYDATA:unbound_payload})",
-            tag_on_failure=_FAIL + "payload_extract",
-        ),
+        grok(TEXT, PAYLOAD, tag_on_failure=_FAIL + "payload_extract"),
         branch((
             exists("unbound_payload"),
             [
-                mutate(replace={
-                    TEXT: "[%{[process][pgid]}:%{[process][thread][id]}] %{[log][level]}: %{unbound_payload}"
-                }),
+                mutate(replace={TEXT: REBUILT}),
                 mutate(remove_field="unbound_payload"),
             ],
         )),
@@ -87,12 +82,7 @@ def _special(word: str, body: str, fail: str, tag: str, fields: dict[str, str])
 
 def unbound() -> list[tuple[Condition, list[Operator]]]:
     kind = "[dnssec][message_type]"
-    queries = [
-        "%{UNBOUND}",
-        "%{UNBOUND_RESOLVING}",
-        _HEAD + "%{IP:[client][ip]} " + _QUESTION + _ANSWER,
-        _HEAD + "resolving " + _QUESTION,
-    ]
+    queries = ["%{UNBOUND}", "%{UNBOUND_RESOLVING}", QUERY, RESOLVING]
     return [
         (
             eq("[type]", "unbound") | matches("[log][syslog][appname]", "^unbound"),
@@ -135,10 +125,7 @@ def unbound() -> list[tuple[Condition, list[Operator]]]:
                         matches(TEXT, "query response was"),
                         [
                             grok(
-                                TEXT,
-                                _HEAD + "query response was %{WORD:[dns][response_status]}"
-                                " %{WORD:[dns][response_type]}",
-                                tag_on_failure=_FAIL + "query_response_status",
+                                TEXT, STATUS, tag_on_failure=_FAIL + "query_response_status",
                             ),
                             mutate(add_field={"[dns][message_type]": "response_status"}),
                         ],

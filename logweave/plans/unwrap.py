@@ -6,34 +6,34 @@ from logweave.operators import grok, mutate
 from logweave.pipeline import Operator, branch
 from logweave.predicates import eq, matches, not_matches
 
-_PRI = r"<%{INT:[log][syslog][priority]}>"
-
-# Header formats and failure tags.
+# Header formats, each written out whole.
 SURICATA_HEADER = (
-    _PRI + r"%{SYSLOGTIMESTAMP:[log][syslog][timestamp]}\s+%{HOSTNAME:[log][syslog][hostname]}"
+    r"<%{INT:[log][syslog][priority]}>%{SYSLOGTIMESTAMP:[log][syslog][timestamp]}\s+%{HOSTNAME:[log][syslog][hostname]}"
     r"\s+suricata:\s+%{GREEDYDATA:filter_message}"
 )
 UNBOUND_HEADER = (
-    _PRI + r"%{INT:[log][syslog][version]}\s+%{NOTSPACE:[log][syslog][timestamp]}"
+    r"<%{INT:[log][syslog][priority]}>%{INT:[log][syslog][version]}\s+%{NOTSPACE:[log][syslog][timestamp]}"
     r"\s+%{NOTSPACE:[log][syslog][hostname]}\s+%{NOTSPACE:[log][syslog][appname]}"
     r"\s+%{NOTSPACE:[log][syslog][procid]}\s+%{NOTSPACE:[log][syslog][msgid]}"
     r'\s+\[meta sequenceId="%{INT:[event][sequence]}"\]\s+%{GREEDYDATA:filter_message}'
 )
 FIREWALL_HEADER = (
-    _PRI + r"%{INT:[log][syslog][version]} %{NOTSPACE:[log][syslog][timestamp]}"
+    r"<%{INT:[log][syslog][priority]}>%{INT:[log][syslog][version]} %{NOTSPACE:[log][syslog][timestamp]}"
     r" %{NOTSPACE:[log][syslog][hostname]} %{NOTSPACE:[log][syslog][appname]}"
     r" %{NOTSPACE:[log][syslog][procid]} %{NOTSPACE:[log][syslog][msgid]}"
     r" %{NOTSPACE:[log][syslog][structured_data]} %{GREEDYDATA:filter_message}"
 )
-
-
-def inner_header(target: str) -> list[str]:
-    """A dated header with and without a second identifier, the rest into ``target``."""
-    start = r"%{TIMESTAMP_ISO8601}\s+%{NOTSPACE}\s+%{NOTSPACE}"
-    return [
-        start + r"\s+-\s+-\s+%{NOTSPACE}\s+-\s+-\s+%{GREEDYDATA:" + target + "}",
-        start + r"\s+%{NOTSPACE}\s+-\s+-\s+%{GREEDYDATA:" + target + "}",
-    ]
+# A dated header within a line, with and without a second identifier; by the field that takes the rest.
+INNER_HEADERS = {
+    "message": [
+        r"%{TIMESTAMP_ISO8601}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+-\s+-\s+%{NOTSPACE}\s+-\s+-\s+%{GREEDYDATA:message}",
+        r"%{TIMESTAMP_ISO8601}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+-\s+-\s+%{GREEDYDATA:message}",
+    ],
+    "filter_message": [
+        r"%{TIMESTAMP_ISO8601}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+-\s+-\s+%{NOTSPACE}\s+-\s+-\s+%{GREEDYDATA:filter_message}",
+        r"%{TIMESTAMP_ISO8601}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+%{NOTSPACE}\s+-\s+-\s+%{GREEDYDATA:filter_message}",
+    ],
+}
 
 
 def unwrap() -> list[Operator]:
@@ -64,7 +64,7 @@ def unwrap() -> list[Operator]:
                     branch((
                         matches("filter_message", r"^\d{4}-\d{2}-\d{2}T"),
                         [grok(
-                            "filter_message", inner_header("message"),
+                            "filter_message", INNER_HEADERS["message"],
                             tag_on_failure="grok_fail_00_input_unbound_inner",
                         )],
                     )),
