@@ -39,8 +39,8 @@ from logweave.llm.common import slices, written
 
 BLOCK_BYTES = 2 << 20
 """Bytes of text in a block; a longer text is a block of its own."""
-KEPT_SEGMENTS = 200_000
-"""Segments that a Python worker keeps for its later batches; beyond that it starts anew, which only costs time."""
+KEPT_SEGMENTS = 240_000
+"""Segments that a Python worker keeps for its later batches; beyond that those met just once are forgotten, which only costs time."""
 RUN = 1000
 """Segments that are encoded together."""
 SPACE_SIGN = "▁"
@@ -97,10 +97,27 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)]
         self.names = [str(i) for i in range(max(*self.a_bytes, len(pieces)) + 1)]
         self.cuttable = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
-        self._forget()
+        self._clear()
 
     def _forget(self) -> None:
+        """Keep what was met more than once, half of the room at most; all that is met again later is learned again."""
+        if not getattr(self, "groups", None):
+            self._clear()
+            return
+        often = np.flatnonzero(self.uses > 1)
+        if len(often) > KEPT_SEGMENTS // 2:
+            often = np.sort(often[np.argsort(-self.uses[often], kind="stable")[: KEPT_SEGMENTS // 2]])
+        names, groups, n = list(self.at), self.groups, self.counts[often, 2]
+        self.at = {names[i]: k for k, i in enumerate(often.tolist())}
+        self.groups = [groups[i] for i in often.tolist()]
+        upto = np.cumsum(n)
+        total = int(upto[-1]) if len(upto) else 0
+        self.pairs = self.pairs[np.repeat(self.begin[often] - (upto - n), n) + np.arange(total)]
+        self.counts, self.begin, self.uses = self.counts[often], upto - n, np.minimum(self.uses[often] - 1, 8)
+
+    def _clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.uses = np.empty(0, np.int64)
         self.counts = np.empty((0, 4), np.int64)
         """Per segment: tokens of each list, groups, and whether both lists spell it."""
         self.groups: list[str] = []
@@ -120,36 +137,37 @@ class Aligner:
         plain = [s for s in parts if self.cuttable and s and not s[-1].isspace() and SPACE_SIGN not in s]
         alone = list(set(parts) - set(plain))
         runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)] + [[s] for s in alone]
-        counts, begin, pairs = [], [], []
+        counts, begin, pairs, at = [self.counts], [self.begin], [self.pairs], len(self.pairs)
         for run in runs:
-            text = " ".join(run)
-            found = self.tokens(text)
-            if found is None and len(run) > 1:
+            found = self.tokens(" ".join(run))
+            if found is None and len(run) > 1:  # one of them spells something else: each by itself
                 runs.extend([s] for s in run)
                 continue
             a, b, groups = found or ([], [], [])
-            a_names, b_names = [self.names[x] for x in a], [self.names[x] for x in b]
-            texts, i, j = [], 0, 0
-            for _, p, q in groups:
-                if p - i == 1 == q - j:
-                    texts.append(f"{a_names[i]}|{b_names[j]}")
-                else:
-                    texts.append(f"{','.join(a_names[i:p])}|{','.join(b_names[j:q])}")
-                i, j = p, q
-            ends = [0, *(end for end, *_ in groups)]
-            stops = np.searchsorted(ends, list(accumulate(len(s.encode()) + 1 for s in run))).tolist() if found else [0]
-            g, i, j = 0, 0, 0
-            for segment, h in zip(run, stops, strict=True):
-                p, q = groups[h - 1][1:] if found else (0, 0)
-                self.at[segment] = len(self.groups)
-                self.groups.append(";".join(texts[g:h]))
-                begin.append(len(self.pairs) + len(pairs) + g)
-                counts.append((p - i, q - j, h - g, found is not None))
-                g, i, j = h, p, q
-            pairs += [a[p - 1] << 32 | b[q - 1] for _, p, q in groups]
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 4)])
-        self.begin = np.concatenate([self.begin, np.array(begin, np.int64)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
+            ends, p, q = np.array(groups, np.int64).reshape(-1, 3).T
+            texts = self._texts(a, b, p, q)
+            # where the groups of each segment end, and the tokens there
+            upto = np.searchsorted(ends, np.cumsum([len(s.encode()) + 1 for s in run]), side="right") if found else np.zeros(1, np.int64)
+            last = np.concatenate([[0], upto])
+            self.at.update(zip(run, count(len(self.groups)), strict=False))
+            self.groups += [";".join(texts[g:h]) for g, h in zip(last.tolist(), upto.tolist(), strict=False)]
+            tokens = [np.diff(np.concatenate([[0], x])[last]) for x in (p, q)]
+            counts.append(np.stack([*tokens, np.diff(last), np.full(len(run), found is not None)], axis=1))
+            begin.append(at + last[:-1])
+            pairs.append(np.array(a, np.int64)[p - 1] << 32 | np.array(b, np.int64)[q - 1])
+            at += len(p)
+        self.counts, self.begin, self.pairs = np.concatenate(counts), np.concatenate(begin), np.concatenate(pairs)
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.begin) - len(self.uses), np.int64)])
+
+    def _texts(self, a: list[int], b: list[int], p: np.ndarray, q: np.ndarray) -> list[str]:
+        """Each group's ids as text."""
+        a_names, b_names = [self.names[x] for x in a], [self.names[x] for x in b]
+        texts = [f"{a_names[i]}|{b_names[j]}" for i, j in zip((p - 1).tolist(), (q - 1).tolist(), strict=True)]
+        i, j = np.concatenate([[0], p])[:-1], np.concatenate([[0], q])[:-1]
+        several = np.flatnonzero((p - i > 1) | (q - j > 1))
+        for k, i0, i1, j0, j1 in zip(*(x.tolist() for x in (several, i[several], p[several], j[several], q[several])), strict=True):
+            texts[k] = f"{','.join(a_names[i0:i1])}|{','.join(b_names[j0:j1])}"
+        return texts
 
     def cut(self, text: str | None) -> list[str]:
         return [] if not text else segments(text) if self.cuttable else [text]
@@ -164,17 +182,20 @@ class Aligner:
             self._learn(new)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         index = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        self.uses += np.bincount(index, minlength=len(self.uses))
+        texts_of = [self.groups[i] for i in index.tolist()]
         owner = np.repeat(np.arange(len(cut)), sizes)
         bad = np.zeros(len(cut), bool)
         bad[owner[self.counts[index, 3] == 0]] = True
         bad |= sizes == 0
-        index, owner = index[~bad[owner]], owner[~bad[owner]]
+        good = ~bad[owner]
+        index, owner = index[good], owner[good]
         numbers = np.zeros((len(cut), 3), np.int64)
         for c in range(3):
             numbers[:, c] = np.bincount(owner, self.counts[index, c], len(cut)).astype(np.int64)
-        digests = []
-        for parts, no in zip(cut, bad, strict=True):
-            text = "" if no else ";".join([self.groups[self.at[s]] for s in parts])
+        digests, ends = [], np.cumsum(sizes)
+        for a, b, no in zip((ends - sizes).tolist(), ends.tolist(), bad.tolist(), strict=True):
+            text = "" if no else ";".join(texts_of[a:b])
             digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
         links = self.counts[index, 2]
         upto = np.cumsum(links)
