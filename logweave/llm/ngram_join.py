@@ -33,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import SPACE_WORDS, batch_hashes, binary, fresh, grams, shuffle_partitions, slices, written
+from logweave.llm.common import SPACE_WORDS, batch_hashes, binary, fresh, give_back, grams, shuffle_partitions, slices, written
 from logweave.llm.graph import components
 
 WORDS = 5
 SIMILARITY = 80
 """Per cent of the union that the intersection must have."""
-UNIT_SHINGLES = 3_000_000
-SLICE = 2 << 20
+UNIT_SHINGLES = 1_500_000
+SLICE = 1 << 20
 HOT_SETS = 1000
 """Sets of which at least one in so many documents is a copy are not dealt by their set; there are no more of them than that."""
 MERGE_BY_HEAP = 64
@@ -121,6 +121,8 @@ def _count_shared(group: pa.Table) -> pa.Table:
             owner = np.repeat(np.arange(documents[i]), np.frombuffer(payloads[i], "<u4")[: documents[i]])
             payloads[i] = np.bincount(owner[shared[at : at + len(own)]], minlength=documents[i]).astype("<u4").tobytes()
             at += len(own)
+    del low
+    give_back()
     return group.set_column(group.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
 
 
@@ -221,6 +223,8 @@ def _frequencies(group: pa.Table) -> pa.Table:
         for i, o in zip(held, own, strict=True):
             payloads[i] += df[at : at + len(o)].tobytes()
             at += len(o)
+        del own, place, count, df
+    give_back()
     return group.set_column(group.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
 
 
@@ -342,6 +346,7 @@ def unit_links(no: np.ndarray, sets: list[np.ndarray], block: np.ndarray) -> lis
 def _unit(group: pa.Table) -> pa.Table:
     sets = [s for chunk in group.column("shingles").chunks for s in _lists(chunk)]
     found = unit_links(group.column("no").to_numpy(), sets, group.column("block").to_numpy())
+    give_back()
     return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 

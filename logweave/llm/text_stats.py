@@ -99,7 +99,7 @@ def counted(docs: DataFrame, text: str, names: tuple[str, ...] = COUNTS) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text, 4 << 20):
+            for batch in slices(whole, text, 1 << 20):
                 counts = text_counts(binary(batch.column(text)), names)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *map(pa.array, counts.values())], names=[*others, *names])
 
