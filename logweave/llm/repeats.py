@@ -29,15 +29,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from logweave.llm.common import binary, mixed, shuffle_partitions, slices, written
+from logweave.llm.common import binary, give_back, mixed, shuffle_partitions, slices, written
 
 SPAN = 50
 K = 24
@@ -191,6 +190,8 @@ def _judge(group: pa.Table) -> pa.Table:
         for i, (_, counts, own) in zip(held, opened, strict=True):
             payloads[i] = _packed(counts) + code[at : at + len(own)].tobytes()
             at += len(own)
+        del opened, doc, entries, key, middle, rest, order, d, first, code
+    give_back()
     return group.set_column(group.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
 
 
@@ -341,6 +342,7 @@ def _indexed(group: pa.Table) -> pa.Table:
     starts = np.flatnonzero(new)
     owner = text[starts]
     end = start[np.append(starts[1:], len(text))[: len(starts)] - 1] + SPAN
+    give_back()
     return pa.table(
         [pa.array(doc[owner]), pa.array(row[owner]), pa.array((first[owner] + start[starts]).astype(np.int32)), pa.array((first[owner] + end).astype(np.int32))],
         names=["doc_id", "row", "start", "end"],
@@ -385,10 +387,10 @@ def repeated_spans(docs: DataFrame, buckets: int | None = None, hot_pieces: int
     return gone.unionByName(found)
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and kept in place of text and spans."""
+def _cut(docs: DataFrame, as_text: bool = False) -> DataFrame:
+    """``docs`` with n_bytes, n_removed, n_spans and kept, bytes or else their whole characters, in place of text and spans."""
     others = [c for c in docs.columns if c not in ("text", "spans")]
-    schema = StructType([*(docs.schema[c] for c in others), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
+    schema = StructType([*(docs.schema[c] for c in others), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -409,17 +411,19 @@ def _cut(docs: DataFrame) -> DataFrame:
                     out.append(t[upto:])
                     n_removed.append(removed)
                     n_spans.append(number)
-                    kept.append(b"".join(out))
-                new = [pa.array([len(t) for t in texts], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())]
+                    left = b"".join(out)
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
+                new = [pa.array([len(t) for t in texts], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *new], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: dict[str, str] | None = None, buckets: int | None = None, hot_pieces: int = HOT_PIECES) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carried: dict[str, str] | None = None, buckets: int | None = None, hot_pieces: int = HOT_PIECES, as_text: bool = False) -> DataFrame:
     """A row per document: doc_id, row (hash of the text), n_bytes, n_removed, n_spans, kept (the remaining bytes).
 
-    ``carried`` names columns of ``docs`` to return too, and what to call them.
+    ``carried`` names columns of ``docs`` to return too, and what to call them. With ``as_text`` kept is text, without the
+    characters of which only some bytes are left.
     """
     if docs.schema[doc_id].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{doc_id} must be an integer, which says what document comes first")
@@ -428,7 +432,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     spans = repeated_spans(whole.select("doc_id", "row", "text"), buckets, hot_pieces)
     per_doc = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("row").alias("span_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     same = (F.col("doc_id") == F.col("span_id")) & (F.col("row") == F.col("span_row"))
-    return _cut(whole.join(per_doc, same, "left").drop("span_id", "span_row"))
+    return _cut(whole.join(per_doc, same, "left").drop("span_id", "span_row"), as_text)
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None, buckets: int | None = None) -> DataFrame:
@@ -438,13 +442,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents that were blank before stay.
     """
     others = [c for c in docs.columns if c not in (doc_id, text)]
-    found = deduplicated(docs, doc_id, text, {c: f"carried_{i}" for i, c in enumerate(others)}, buckets)
-
-    @F.pandas_udf("string")
-    def decoded(parts: pd.Series) -> pd.Series:
-        return pd.Series([bytes(b).decode("utf-8", "ignore") for b in parts], dtype=object)
-
-    left = found.withColumn("decoded", decoded("kept")).filter((F.col("n_removed") == 0) | F.col("decoded").rlike(r"[^\x00-\x20]"))
+    found = deduplicated(docs, doc_id, text, {c: f"carried_{i}" for i, c in enumerate(others)}, buckets, as_text=True)
+    left = found.withColumnRenamed("kept", "decoded").filter((F.col("n_removed") == 0) | F.col("decoded").rlike(r"[^\x00-\x20]"))
     names = {doc_id: F.col("doc_id").cast(docs.schema[doc_id].dataType), text: F.col("decoded"), **{c: F.col(f"carried_{i}") for i, c in enumerate(others)}}
     if length in names:
         names[length] = F.length("decoded").cast(docs.schema[length].dataType)
