@@ -488,7 +488,7 @@ def networks(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN kind = 4 THEN CASE WHEN r_name IS NOT NULL THEN 1.0 END WHEN n_nationkey < 9 AND d >= 128 THEN NULL WHEN n_nationkey IS NOT NULL THEN CAST(n_nationkey AS DOUBLE) WHEN b < 128 THEN 0.0 END AS lat
     FROM e LEFT JOIN nation ON kind < 4 AND n_nationkey = b LEFT JOIN region ON kind = 4 AND r_regionkey = g""")
 def lookup_geo(spark: SparkSession, sf: str) -> DataFrame:
-    address = L.text(f"CASE WHEN event_id % 5 = 4 THEN concat('2001:DB8:', CAST(event_id % 7 AS VARCHAR(9)), '::', CAST(user_id AS VARCHAR(9))) ELSE {L.SOURCE_IP} END")
+    address = L.text(f"CASE WHEN event_id % 5 = 4 THEN concat('2001:DB8:', CAST(event_id % 7 AS VARCHAR(9)), '::', {L.v6_groups('user_id')}) ELSE {L.SOURCE_IP} END")
     df = table(spark, sf, "events").select("event_id", F.expr(address).alias("source.ip"))
     out = run(df, geoip("[source][ip]", geo_table(networks(spark, sf)), "[source][geo]"))
     return pick(out, "event_id", country="source.geo.country_name", code3="source.geo.country_code3", lat="source.geo.location.lat")

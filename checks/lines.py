@@ -31,6 +31,11 @@ USER = "concat('user', CAST(user_id AS VARCHAR(9)))"
 V6_SOURCE = "concat('2001:db8::', CAST(event_id % 10 AS VARCHAR(9)))"
 
 
+def v6_groups(number: str) -> str:
+    """Spark text: a number of up to twelve digits as the last three groups of an IPv6 address, four digits each at most."""
+    return f"concat({number} div 100000000, ':', {number} div 10000 % 10000, ':', {number} % 10000)"
+
+
 def text(sql: str) -> str:
     """The same expression in Spark's spelling."""
     return sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(19)", "STRING")
