@@ -40,7 +40,7 @@ def _owners(spark: SparkSession, sf: str) -> NetworkTable:
 
 
 _ADDRESS = f"""CASE WHEN event_id % 6 < 4 THEN concat('10.', {_B}, '.', event_id % 4, '.', event_id % 256)
-    WHEN event_id % 6 = 4 THEN concat('2001:DB8:', event_id % 7, '::', user_id) END"""
+    WHEN event_id % 6 = 4 THEN concat('2001:DB8:', event_id % 7, '::', {L.v6_groups('user_id')}) END"""
 _COUNTRY = """CASE WHEN kind < 4 THEN CASE WHEN c = 1 THEN n_name || ' one' WHEN c = 2 AND b < 9 AND d >= 128 THEN n_name || ' deep' WHEN c = 2 THEN n_name || ' two' ELSE n_name END
     WHEN kind = 4 THEN coalesce(r_name, 'doc') END"""
 _OWNER = "CASE WHEN kind < 4 THEN CASE WHEN n_name IS NOT NULL AND c >= 2 THEN 'AS' || CAST(b AS VARCHAR) ELSE 'AS8' END END"
