@@ -379,7 +379,8 @@ def private_clients(spark: SparkSession, sf: str) -> DataFrame:
     concat('pfelk', CASE WHEN event_id % 2 = 0 THEN ',IP_Private_Source' ELSE ',GeoIP_Source' END) AS tags FROM (SELECT *, user_id % 256 AS b FROM events) LEFT JOIN nation ON event_id % 2 = 1 AND event_id % 5 <> 4 AND n_nationkey = b LEFT JOIN region ON event_id % 2 = 1 AND event_id % 5 = 4 AND r_regionkey = event_id % 7""")
 def places_of_events(spark: SparkSession, sf: str) -> DataFrame:
     nets = networks(spark, sf).withColumn("network", F.regexp_replace("network", r"^10[.]", "20."))
-    address = ("CASE WHEN event_id % 2 = 0 THEN concat('10.', user_id % 256, '.0.', event_id % 256) WHEN event_id % 5 = 4 THEN concat('2001:db8:', event_id % 7, '::', user_id)"
+    address = ("CASE WHEN event_id % 2 = 0 THEN concat('10.', user_id % 256, '.0.', event_id % 256)"
+               f" WHEN event_id % 5 = 4 THEN concat('2001:db8:', event_id % 7, '::', {L.v6_groups('user_id')})"
                " ELSE concat('20.', user_id % 256, '.0.', event_id % 256) END")
     df = table(spark, sf, "events").select("event_id", F.expr(address).alias("source.ip"), F.array(F.lit("pfelk")).alias("tags"))
     return pick(run(df, *enrich.places(geo_table(nets))), "event_id", "tags", country="source.geo.country_name")
