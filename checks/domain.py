@@ -368,9 +368,11 @@ def export_json_text(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN event_id % 2 = 0 THEN 'unbound,Private_Client_IP' ELSE 'unbound' END AS tags FROM (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN concat('10.0.', CAST(user_id // 256 AS VARCHAR), '.', CAST(user_id % 256 AS VARCHAR)) ELSE concat('8.0.', CAST(user_id // 256 AS VARCHAR), '.', CAST(user_id % 256 AS VARCHAR)) END AS ip FROM events)
     LEFT JOIN customer ON c_custkey = user_id AND event_id % 2 = 0""")
 def private_clients(spark: SparkSession, sf: str) -> DataFrame:
-    ip = "concat('10.0.', c_custkey div 256, '.', c_custkey % 256)"
-    hosts = table(spark, sf, "customer").select(F.expr(ip).alias("key"), F.col("c_name").alias("value"))
-    address = "concat(CASE WHEN event_id % 2 = 0 THEN '10.0.' ELSE '8.0.' END, user_id div 256, '.', user_id % 256)"
+    def private(number: str) -> str:  # 10.0.0.0/16 has 65,536 addresses; numbers beyond get private ones of the newer family
+        return f"CASE WHEN {number} < 65536 THEN concat('10.0.', {number} div 256, '.', {number} % 256) ELSE concat('fc00::', {L.v6_groups(number)}) END"
+
+    hosts = table(spark, sf, "customer").select(F.expr(private("c_custkey")).alias("key"), F.col("c_name").alias("value"))
+    address = f"CASE WHEN event_id % 2 = 0 THEN {private('user_id')} ELSE concat('8.0.', user_id div 256, '.', user_id % 256) END"
     df = table(spark, sf, "events").select("event_id", F.expr(address).alias("client.ip"), F.array(F.lit("unbound")).alias("tags"))
     return pick(run(df, *enrich.private_clients(Lookup(hosts), {"[client][geo][city_name]": "City"})), "event_id", "client.subdomain", "tags", city="client.geo.city_name")
 
