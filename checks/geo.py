@@ -88,7 +88,7 @@ def places_all(spark: SparkSession, sf: str) -> DataFrame:
 
     def address(at: str) -> str:
         return f"""CASE WHEN event_id % 6 < 4 AND {_B} < 25 AND {_B} % 5 = 0 THEN concat('192.168.', event_id % 256, '.1') WHEN event_id % 6 < 4 THEN concat('{at}.', {_B}, '.', event_id % 4, '.9')
-            WHEN event_id % 6 = 4 THEN concat('2001:db8:', event_id % 7, '::', user_id) END"""
+            WHEN event_id % 6 = 4 THEN concat('2001:db8:', event_id % 7, '::', {L.v6_groups('user_id')}) END"""
 
     fields = {"source": "source.ip", "destination": "destination.ip", "client": "client.ip", "vpn": "openvpn.client.ip"}
     tags = F.array(*(F.lit(t) for t in ("pfelk", "nginx", "openvpn"))).alias("tags")
