@@ -14,8 +14,8 @@ more than a few hundred wrappers. Extraction joins each page to its host's wrapp
 
 Cases: a null or empty page, or one without text, has the empty text. Unclosed tags end where their parent ends, an unclosed
 head before the first text or tag that cannot stand in it; stray end tags are ignored. Of script, style, textarea and title
-the rest of the page goes if they have no end tag; of noscript, template, iframe, svg and select only the tag itself. Pages without a host share one wrapper. A wrapper of more than ``MOST_ITEMS`` parts is cut down to one
-repeated group of optional parts, which still matches. Repeated rows are extracted alike. Empty tables give no rows. Output
+the rest of the page goes if they have no end tag; of noscript, template, iframe, svg and select only the tag itself. Pages without a host share one wrapper. A wrapper has as many parts as the layouts of
+its host need. Repeated rows are extracted alike. Empty tables give no rows. Output
 columns take the place of input columns of the same name.
 """
 
@@ -66,7 +66,6 @@ ARTICLE_TAGS = frozenset({"article", "main"})
 KEPT_TAGS = ARTICLE_TAGS | frozenset("html body p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody blockquote pre figcaption".split())
 """Elements that no class makes boilerplate: the page, the article and what texts are made of."""
 
-MOST_ITEMS = 400
 FOLD = 24
 LEAST_PAGES = 5
 """Texts that never change are template text only if so many pages of different texts have them; copies count once."""
@@ -221,11 +220,18 @@ def _grouped_alike(items: list[Item], other: list[Item]) -> list[Item]:
 
 
 def _optional(items: list[Item]) -> list[Item]:
-    if not items:
-        return []
-    if len(items) == 1 and not isinstance(items[0], str) and items[0][0] == "g":
-        return [["g", 0, items[0][2], items[0][3]]]
-    return [["g", 0, False, items]]
+    """Groups become optional ones; what stands between them becomes an optional group, so groups do not nest deeper with each page."""
+    out: list[Item] = []
+    plain: list[Item] = []
+    for item in items:
+        if isinstance(item, str) or item[0] == "#":
+            plain.append(item)
+            continue
+        if plain:
+            out.append(["g", 0, False, plain])
+            plain = []
+        out.append(["g", 0, item[2], item[3]])
+    return [*out, ["g", 0, False, plain]] if plain else out
 
 
 def _both(a: Item, b: Item) -> Item:
@@ -244,21 +250,13 @@ def merged(a: list[Item], b: list[Item]) -> list[Item]:
     keys_a, keys_b = list(map(key, a)), list(map(key, b))
     if keys_a == keys_b:
         return [_both(x, y) for x, y in zip(a, b, strict=True)]
-    out, i, j = [], 0, 0
+    out: list[Item] = []
+    i, j = 0, 0
     for x, y, n in SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_matching_blocks():
         out += _optional(a[i:x]) + _optional(b[j:y])
         out += [_both(p, q) for p, q in zip(a[x : x + n], b[y : y + n], strict=True)]
         i, j = x + n, y + n
-    return _cut_down(out) if len(out) > MOST_ITEMS else out
-
-
-def _cut_down(items: list[Item]) -> list[Item]:
-    found: dict[str, Item] = {}
-    for item in items:
-        flat = [item] if isinstance(item, str) or item[0] == "#" else item[3]
-        for i in flat:
-            found.setdefault(key(i), slotted(i))
-    return [["g", 0, True, [["g", 0, False, [i]] for i in found.values()]]]
+    return out
 
 
 def _named_boilerplate(symbol: str) -> bool:
