@@ -78,7 +78,7 @@ class Encoder:
         """Where the ids of each chunk, with a space before it, begin in ``self.ids``, and their number."""
         if len(self.hashes) > CACHE_CHUNKS:
             self._forget()
-        names = chunks.to_pylist()
+        names = chunks.to_numpy(zero_copy_only=False).tolist()  # whole words at once, not a Python scalar for each
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(names), bool)
