@@ -37,8 +37,11 @@ from logweave.llm.common import shuffle_partitions, slices
 
 WINDOW = 1024
 END_ID = 0
-CACHE_CHUNKS = 1_500_000
-"""Chunks whose ids a Python worker keeps for its later batches and tasks; beyond that it starts anew, which only costs time."""
+SLICE = 2 << 20
+"""Bytes of text that are encoded at once."""
+CACHE_CHUNKS = 800_000
+CACHE_IDS = 8_000_000
+"""Chunks and ids that a Python worker keeps for its later batches and tasks. Beyond that, chunks that only one slice had go, which only costs time."""
 BLOCK = 500_000
 
 _UNSAFE = r"\s \s|\s \Z"
@@ -50,7 +53,8 @@ class Encoder:
     The tokenizer splits a text before each space that no white space precedes, or that a visible character follows, so
     texts are cut at single spaces and each distinct chunk is encoded once. Texts with other white space, and those that hold
     an added token, go to it whole.
-    The ids of chunks met before are kept, sorted by a 64-bit hash of the chunk.
+    The ids of chunks met before are kept, sorted by a 64-bit hash of the chunk. Words recur and most other chunks do not, so what
+    a worker keeps between its tasks is thinned out to the chunks that a second slice had.
     """
 
     def __init__(self, tokenizer_path: str, special_as_text: bool = False):
@@ -64,26 +68,40 @@ class Encoder:
 
     def _forget(self) -> None:
         self.hashes, self.start, self.length, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.met = np.empty(0, bool)
+
+    def _thin_out(self) -> None:
+        """Only chunks met again since the last time stay, or none, if that would not free half of the room."""
+        stay = np.flatnonzero(self.met)
+        length = self.length[stay]
+        size = int(length.sum())
+        if 2 * len(stay) > CACHE_CHUNKS or 2 * size > CACHE_IDS:
+            self._forget()
+            return
+        begin = np.cumsum(length) - length
+        self.ids = self.ids[np.repeat(self.start[stay] - begin, length) + np.arange(size)]
+        self.hashes, self.start, self.length, self.met = self.hashes[stay], begin, length, np.zeros(len(stay), bool)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids."""
         counts, ids = [], [np.empty(0, np.uint32)]
-        for a in range(0, len(texts), 20_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 20_000], add_special_tokens=False)]
+        for a in range(0, len(texts), 5_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + 5_000], add_special_tokens=False)]
             counts += map(len, found)
             ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
         return np.array(counts, np.int64), np.concatenate(ids)
 
     def _lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each chunk, with a space before it, begin in ``self.ids``, and their number."""
-        if len(self.hashes) > CACHE_CHUNKS:
-            self._forget()
+        if len(self.hashes) > CACHE_CHUNKS or len(self.ids) > CACHE_IDS:
+            self._thin_out()
         names = chunks.to_numpy(zero_copy_only=False).tolist()  # whole words at once, not a Python scalar for each
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(names), bool)
         inside = at < len(self.hashes)
         known[inside] = self.hashes[at[inside]] == hashes[inside]
+        self.met[at[known]] = True
         new = np.flatnonzero(~known)
         if len(new):
             counts, ids = self._encode([" " + names[i] for i in new])
@@ -92,6 +110,7 @@ class Encoder:
             order = np.argsort(merged, kind="stable")
             self.hashes = merged[order]
             self.start, self.length = np.concatenate([self.start, begin])[order], np.concatenate([self.length, counts])[order]
+            self.met = np.concatenate([self.met, np.zeros(len(new), bool)])[order]
             self.ids = np.concatenate([self.ids, ids])
             at = np.searchsorted(self.hashes, hashes)
         return self.start[at], self.length[at]
@@ -115,8 +134,9 @@ class Encoder:
         size = length[index]
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
-        out = source[np.repeat(start[index] - (upto - size), size) + np.arange(total)]
-        return out, upto[ends[1:] + np.arange(len(texts))]
+        at = np.repeat(start[index] - (upto - size), size)
+        at += np.arange(total)
+        return source[at], upto[ends[1:] + np.arange(len(texts))]
 
 
 def kept_encoder(tokenizer_path: str, special_as_text: bool = False) -> Encoder:
@@ -138,7 +158,7 @@ def token_pieces(
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = kept_encoder(tokenizer_path, special_as_text)
         for whole in batches:
-            for batch in slices(whole, "text", 6 << 20):
+            for batch in slices(whole, "text", SLICE):
                 ids, ends = encoder.encode([t or "" for t in batch.column("text").to_pylist()], end_id)
                 total = np.diff(ends, prepend=0)
                 number = -(-total // window)

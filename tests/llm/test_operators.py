@@ -382,6 +382,30 @@ def test_packing(spark, hard, rows, empty):
     assert packing.packed_digest(empty, path).count() == 0
 
 
+def test_encoder_keeps_little_and_what_recurs(monkeypatch):
+    """Beyond the limits, chunks met again stay and the others go; long chunks count by their ids; ids stay the tokenizer's."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 1000)
+    monkeypatch.setattr(packing, "CACHE_IDS", 20_000, raising=False)
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded, plain = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: encoded.append(set(texts)) or plain(texts))
+    common = [f"often{i}" for i in range(100)]
+
+    def coded(words):
+        text = " ".join(["x", *words])
+        ids, ends = encoder.encode([text], 0)
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 0] and ends.tolist() == [len(ids)]
+
+    for part in range(12):
+        coded([*common, *(f"once{part}x{i}" for i in range(400))])
+        assert len(encoder.hashes) <= 1000 + 500
+    assert not any(" often0" in texts for texts in encoded[1:])
+    for part in range(6):  # few chunks, but many ids
+        coded([f"{part}" + "qz" * 6000 + f"{i}" for i in range(4)])
+    assert len(encoder.hashes) < 900 and len(encoder.ids) <= 20_000 + 50_000
+
+
 def test_packing_of_special_tokens(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
